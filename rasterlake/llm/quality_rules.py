@@ -57,7 +57,8 @@ def judged(docs: DataFrame, symbol_rate: float = 0.25, most_lost: float = 0.5, i
         ).alias("places"),
     )
     covered = F.when(F.size("places") == 0, F.lit(0)).otherwise(F.aggregate(F.sequence(F.lit(0), F.size("places") - 1), F.lit(0), lambda acc, k: acc + F.least(F.lit(3), F.coalesce(F.get("places", k + 1) - F.get("places", k), F.lit(3)))))
-    measured = twice.select(
+    # inline() of one struct: a filter on the verdict isn't pushed below it, which would compute everything again for each use.
+    measured = twice.select(F.inline(F.array(F.struct(
         "doc_id",
         F.col("n").cast("long").alias("n_words"),
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
@@ -67,7 +68,7 @@ def judged(docs: DataFrame, symbol_rate: float = 0.25, most_lost: float = 0.5, i
         F.size("lines").cast("long").alias("n_lines"),
         F.size("lost").cast("long").alias("n_lost_lines"),
         F.char_length(F.array_join(F.flatten(F.col("lost.w")), "")).cast("long").alias("lost_chars"),
-    )
+    ))))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return measured.withColumn("base_failed", failed).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("lost_chars") <= most_lost * F.col("word_chars"))).alias("kept"), "n_lines", "n_lost_lines", "lost_chars")
 
