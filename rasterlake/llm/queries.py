@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterlake.llm import packing, quality_rules, token_shards
+from rasterlake.llm import embedding_dedup, packing, pii_crf, quality_gam, quality_rules, suffix_dedup, token_shards
 from rasterlake.llm.common import read_table
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(read_table(spark, sf_dir, "documents"))
+
+
+def op3_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.find(read_table(spark, sf_dir, "documents"))
+
+
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(read_table(spark, sf_dir, "documents"))
 
@@ -22,8 +34,12 @@ def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.shards_query(read_table(spark, sf_dir, "documents"))
 
 
+def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_quality_rules, op7_best_fit_packing, op9_token_shards)}
+    return {f.__name__: f for f in (op2_suffix_dedup, op3_pii_crf, op4_embedding_dedup, op6_quality_rules, op7_best_fit_packing, op9_token_shards, op10_quality_gam)}
 
 
 def oracle_sql() -> dict[str, str]:
