@@ -1,29 +1,54 @@
-"""The corpus pipeline: quality rules, n-gram Jaccard join, substring dedup, personal data, packing."""
+"""The corpus pipeline: quality rules, n-gram Jaccard join, substring dedup, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all documents its predecessor kept; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from rasterlake.llm import packing, quality_rules
+from rasterlake.llm import compact_windows, jaccard_join, packing, pii_crf, quality_rules
 from rasterlake.llm.common import read_table, written
 
+#: No stage after the first can be written in SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass, without their failing lines."""
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep, without their failing lines."""
     return quality_rules.kept_documents(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: five words a shingle, similarity 0.8 or more."""
+    return jaccard_join.representatives(docs, size=5, percent=80)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has are cut."""
+    return compact_windows.without_passages(docs)
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by the name of its kind."""
+    return pii_crf.redacted(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("quality_rules", quality), ("best_fit_packing", pack)]
+STAGES = [
+    ("quality_rules", keep_quality),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("substring_dedup", cut_repeats),
+    ("pii", hide_personal_data),
+    ("best_fit_packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage on what the one before returned, each written and read again."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)

@@ -178,7 +178,7 @@ def train(docs: DataFrame) -> Potentials:
     chain[0, :], chain[:, 0] = chain[1:, :].mean(0), chain[:, 1:].mean(1)
     chain = (np.log(chain / chain.sum()) - np.log(np.outer(chain.sum(1), chain.sum(0)) / chain.sum() ** 2)).clip(-0.5, 0.5)
     agree = lambda f, most: float(np.clip(np.log((n.get((f, "", 1), 0) + 50) / (n.get((f, "", 0), 0) + 1)), 0, most))
-    return Potentials(unary, prior.clip(-3, 0), chain, agree("key", 6.0), agree("tail", 4.0), np.array([0.0, -3.0, -3.0, -3.0, -3.0]))
+    return Potentials(unary, prior.clip(-3, 0), chain, agree("key", 6.0), agree("tail", 4.0), np.array([0.0, -2.0, -2.0, -2.0, -2.0]))
 
 
 def label_mentions(found: list[Mention], p: Potentials, rounds: int = 12) -> np.ndarray:

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterlake.llm import embedding_dedup, packing, pii_crf, quality_gam, quality_rules, suffix_dedup, token_shards
+from rasterlake.llm import compact_windows, embedding_dedup, jaccard_join, packing, pii_crf, quality_gam, quality_rules, sentencepiece_match, suffix_dedup, token_shards
 from rasterlake.llm.common import read_table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_match.round_trips(read_table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(read_table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,10 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(read_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(read_table(spark, sf_dir, "documents"))
 
@@ -30,6 +38,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op8_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.near_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.shards_query(read_table(spark, sf_dir, "documents"))
 
@@ -39,7 +51,9 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_suffix_dedup, op3_pii_crf, op4_embedding_dedup, op6_quality_rules, op7_best_fit_packing, op9_token_shards, op10_quality_gam)}
+    return {f.__name__: f for f in (
+        op1_sentencepiece, op2_suffix_dedup, op3_pii_crf, op4_embedding_dedup, op5_jaccard_join, op6_quality_rules, op7_best_fit_packing, op8_compact_windows, op9_token_shards, op10_quality_gam
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
