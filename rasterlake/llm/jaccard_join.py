@@ -3,16 +3,17 @@
 The distance is 1 - |A and B| / |A or B|; documents link at 0.15 or less. Almost all pairs of a corpus stand at
 exactly 1, where the triangle inequality says nothing and cells around pivots would copy every document
 everywhere, so the space is first cut into regions that hold every pair below that: two linked documents share one
-of the first n - ceil(0.85 n) + 1 shingles of their sets, in one order for all (frequent shingles last), and a region is the
-documents with one such shingle. Inside regions distances differ, and pivots work:
+of the first n - ceil(0.85 n) + 1 shingles of their sets, and k of the first n - ceil(0.85 n) + k, in one order for all
+(frequent shingles last); a region is the documents with one such shingle. Inside regions distances differ, and pivots work:
 
 1. Equal sets fold into their smallest doc_id (128-bit signatures and sizes); a task folds them before the shuffle.
 2. Regions of up to ``small`` documents compare all pairs of fitting sizes. Larger ones take their smallest doc_id as
    pivot and compare every document with it: those within 0.15 are one component at once.
-3. Two documents of a large region whose components still differ are compared if their distances to the pivot
-   differ by at most 0.15 (the triangle window); others can't link. After this no pair that could join two
-   components is left, so components are exact.
-4. Compared pairs are verified on whole sets, in groups by the smaller document and in chunks of bounded size.
+3. Large regions whose documents are still in different components are joined again, by the component of their pivot:
+   blocks of documents meet in tasks, which intersect the sets of those whose components differ and whose distances to a
+   common pivot differ by at most 0.15 (the triangle window; others can't link), and return one link for two components.
+   After this no pair that could join two components is left, so components are exact.
+4. All other compared pairs are verified on whole sets, in groups by the smaller document and in chunks of bounded size.
 
 Sets hold 64-bit hashes of shingles. A-Z are lower-cased; a document with fewer words than a shingle has its whole sequence as the
 only one; without words or text the set is empty and links with nothing. Rows with one doc_id are versions of one
@@ -56,8 +57,13 @@ def sets_of(raws: list[bytes], size: int) -> list[np.ndarray]:
     return out
 
 
+def level(n):
+    """How many shingles of their prefixes two linked documents must share, by the size of the one for which that's fewer."""
+    return 1 + np.minimum(n // 40, 11)
+
+
 def prefix(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+    return min(n, n - -(-percent * n // 100) + int(level(n)))
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -79,7 +85,7 @@ def batched(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[lis
         yield ids, held
 
 
-def join(docs: DataFrame, size: int = 4, percent: int = 85, small: int = 16, task_bytes: int = 16 << 20, shard_bytes: int = 16 << 20, hot_in_task: int = 12, most_hot: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(docs: DataFrame, size: int = 4, percent: int = 85, small: int = 16, block: int = 256, task_bytes: int = 6 << 20, shard_bytes: int = 16 << 20, hot_in_task: int = 12, most_hot: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id.
 
     ``most_hot`` bounds the frequent shingles that are ordered last (and sent to all tasks); it changes how much is compared, never what is found.
@@ -120,11 +126,15 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, small: int = 16, tas
             made, seen = [], set()
             order = sorted(range(len(ids)), key=ids.__getitem__)
             found = sets_of([held[k] for k in order], size)
-            for k, s in zip(order, found, strict=True):
+            every = np.concatenate(found)
+            place = np.searchsorted(hot, every)
+            often = hot[np.minimum(place, len(hot) - 1)] == every if len(hot) else np.zeros(len(every), bool)
+            ends = np.cumsum([len(s) for s in found])
+            for k, s, end in zip(order, found, ends.tolist(), strict=True):
                 if not len(s) or (mark := s.tobytes()) in seen:
                     continue
                 seen.add(mark)
-                frequent = np.isin(s, hot, assume_unique=True) if len(hot) else np.zeros(len(s), bool)
+                frequent = often[end - len(s) : end]
                 use = np.concatenate([s[~frequent], s[frequent]])[: prefix(len(s), percent)]
                 rows = np.empty(len(use), ROW)
                 rows["key"], rows["doc"], rows["n"] = use, ids[k], len(s)
@@ -144,30 +154,33 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, small: int = 16, tas
         rows = np.unique(np.concatenate([unpacked(open_(r)) for r in part["rows"].to_pylist()]))
         begins = np.flatnonzero(np.append(True, rows["key"][1:] != rows["key"][:-1]))
         sizes = np.diff(np.append(begins, len(rows)))
-        a, b, keys = [], [], []
+        a, b = [], []
         # Regions of one size together: all their pairs in a few array steps.
         for g in np.unique(sizes[(sizes > 1) & (sizes <= small)]):
             block = rows[begins[sizes == g][:, None] + np.arange(g)]
             i, j = np.triu_indices(g, 1)
             a.append(block[:, j].ravel())
             b.append(block[:, i].ravel())
+        n_small = sum(map(len, a))
         large = sizes > small
         member = rows[np.repeat(large, sizes)]
         pivot = rows[np.repeat(begins[large], sizes[large])] if large.any() else member
-        a.append(member)
-        b.append(pivot)
-        x, y = np.concatenate(a), np.concatenate(b)
+        x, y = np.concatenate([*a, member]), np.concatenate([*b, pivot])
+        at_pivot = np.arange(len(x)) >= n_small
         fit = (x["doc"] != y["doc"]) & (100 * np.minimum(x["n"], y["n"]).astype(np.int64) >= percent * np.maximum(x["n"], y["n"]).astype(np.int64))
-        pairs = np.unique(np.stack([np.maximum(x["doc"], y["doc"])[fit], np.minimum(x["doc"], y["doc"])[fit]], 1), axis=0)
-        keys = member["key"].view(np.int64)
+        x, y, at_pivot = x[fit], y[fit], at_pivot[fit]
+        pairs = np.stack([np.maximum(x["doc"], y["doc"]), np.minimum(x["doc"], y["doc"]), level(np.minimum(x["n"], y["n"]).astype(np.int64))], 1)
+        pairs, where = np.unique(pairs, axis=0, return_inverse=True)
+        where = where.ravel()
+        counts = [np.bincount(where[at_pivot == k], minlength=len(pairs)) for k in (False, True)]
         none = lambda k, t: pa.nulls(k, t)
         p, m = len(pairs), len(member)
         return pa.concat_tables([
-            pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "key": none(p, pa.int64()), "n": none(p, pa.int32())}),
-            pa.table({"a": pa.array(member["doc"]), "b": pa.array(pivot["doc"]), "key": pa.array(keys), "n": pa.array(member["n"])}),
+            pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "need": pa.array(pairs[:, 2].astype(np.int32)), "shared": pa.array(counts[0].astype(np.int32)), "at_pivot": pa.array(counts[1].astype(np.int32)), "key": none(p, pa.int64()), "n": none(p, pa.int32())}),
+            pa.table({"a": pa.array(member["doc"]), "b": pa.array(pivot["doc"]), "need": none(m, pa.int32()), "shared": none(m, pa.int32()), "at_pivot": none(m, pa.int32()), "key": pa.array(member["key"].view(np.int64)), "n": pa.array(member["n"])}),
         ])
 
-    stage = written(texts.where("doc_id IS NOT NULL").mapInArrow(emit, "shard long, rows binary").groupBy("shard").applyInArrow(compare, "a long, b long, key long, n int"), "regions")
+    stage = written(texts.where("doc_id IS NOT NULL").mapInArrow(emit, "shard long, rows binary").groupBy("shard").applyInArrow(compare, "a long, b long, need int, shared int, at_pivot int, key long, n int"), "regions")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(a, b, both, n_a, n_b): the sizes of intersection and sets."""
@@ -178,7 +191,7 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, small: int = 16, tas
         asked = asked.groupBy("doc_id", F.pmod(F.xxhash64("b", "chunk"), F.lit(64)).alias("part")).agg(F.collect_list(F.struct("b", "chunk", "side")).alias("asked"))
 
         def excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (whole.slice(k, 500) for whole in batches for k in range(0, len(whole), 500)):
                 rows = []
                 found = sets_of([t.as_py().encode() for t in batch.column(1)], size)
                 for doc, s, asked in zip(batch.column(0).to_pylist(), found, batch.column(2).to_pylist(), strict=True):
@@ -202,32 +215,80 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, small: int = 16, tas
         cut = texts.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(excerpts, "b long, chunk long, side int, doc long, raw binary")
         return written(cut.groupBy("b", "chunk").applyInArrow(check, "a long, b long, both int, n_a int, n_b int").distinct(), "verified")
 
+    def crossing(members: DataFrame) -> DataFrame:
+        """Links between components inside clusters of open regions: blocks of ``block`` documents against each other, one link for two components."""
+        sizes = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+        dealt = members.join(sizes, "cluster").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("at", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+        asked = dealt.select(F.col("doc").alias("doc_id"), F.struct("cluster", F.least("at", "o").alias("p"), F.greatest("at", "o").alias("q"), (F.col("at") <= F.col("o")).alias("first"), (F.col("at") >= F.col("o")).alias("second"), "label", "n", F.col("seen.pivot").alias("pivot"), F.col("seen.d").alias("d")).alias("r"))
+        asked = asked.groupBy("doc_id", F.pmod(F.xxhash64("r.cluster", "r.p", "r.q"), F.lit(64)).alias("part")).agg(F.collect_list("r").alias("asked"))
+
+        def excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in (whole.slice(k, 200) for whole in batches for k in range(0, len(whole), 200)):
+                found = sets_of([t.as_py().encode() for t in batch.column(1)], size)
+                rows = [{**r, "doc": doc, "raw": s.tobytes()} for doc, s, asked in zip(batch.column(0).to_pylist(), found, batch.column(2).to_pylist(), strict=True) for r in asked]
+                yield pa.RecordBatch.from_pylist(rows, schema=BLOCK)
+
+        BLOCK = pa.schema([("cluster", pa.int64()), ("p", pa.int32()), ("q", pa.int32()), ("first", pa.bool_()), ("second", pa.bool_()), ("label", pa.int64()), ("n", pa.int32()), ("pivot", pa.int64()), ("d", pa.float64()), ("doc", pa.int64()), ("raw", pa.binary())])
+
+        def compare_blocks(part: pa.Table) -> pa.Table:
+            label, n, doc = (part[c].to_numpy() for c in ("label", "n", "doc"))
+            pivot, d = (np.array(part[c].fill_null(v)) for c, v in (("pivot", -1), ("d", 0.0)))
+            known = ~np.array(part["d"].is_null())
+            one, two = np.flatnonzero(part["first"].to_numpy(zero_copy_only=False)), np.flatnonzero(part["second"].to_numpy(zero_copy_only=False))
+            x, y = one[:, None], two[None, :]
+            may = (label[x] != label[y]) & (doc[x] != doc[y]) & (100 * np.minimum(n[x], n[y]).astype(np.int64) >= percent * np.maximum(n[x], n[y]).astype(np.int64))
+            may &= ~(known[x] & known[y] & (pivot[x] == pivot[y]) & (np.abs(d[x] - d[y]) > epsilon + 1e-9))
+            none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+            if not may.any():
+                return none
+            sets = [np.frombuffer(r, "<u8") for r in part["raw"].to_pylist()]
+            every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            _, token, count = np.unique(every, return_inverse=True, return_counts=True)
+            shared = count > 1  # other shingles are in no intersection
+            number = np.cumsum(shared) - 1
+            use = shared[token]
+            token, owner = number[token[use]], owner[use]
+            both = np.zeros((len(one), len(two)), np.float32)
+            for low in range(0, int(shared.sum()), 4096):
+                here = (token >= low) & (token < low + 4096)
+                has = np.zeros((len(sets), 4096), np.float32)
+                has[owner[here], token[here] - low] = 1
+                both += has[one] @ has[two].T
+            linked = may & (100 * both >= percent * (n[x] + n[y] - both))
+            i, j = np.nonzero(linked)
+            i, j = one[i], two[j]
+            _, k = np.unique(np.stack([np.minimum(label[i], label[j]), np.maximum(label[i], label[j])], 1), axis=0, return_index=True)
+            return pa.table({"a": pa.array(doc[i[k]]), "b": pa.array(doc[j[k]])})
+
+        cut = texts.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(excerpts, "cluster long, p int, q int, first boolean, second boolean, label long, n int, pivot long, d double, doc long, raw binary")
+        return written(cut.groupBy("cluster", "p", "q").applyInArrow(compare_blocks, "a long, b long"), "crossing")
+
     near = F.col("both") * 100 >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))
     folded = sets.join(same, ["n", "one", "two"]).where("doc_id > head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
-    # A folded document's pairs are its head's: pairs are moved to the heads, so that each pair of sets is verified once.
     head_of = written(folded, "heads")
+    found = stage.where("key IS NULL").groupBy("a", "b", "need").agg(F.sum("shared").alias("shared"), F.sum("at_pivot").alias("at_pivot"))
 
     def moved(pairs: DataFrame) -> DataFrame:
+        """Pairs of folded documents become pairs of their heads, so that each pair of sets is verified once."""
         for c in ("a", "b"):
             pairs = pairs.join(head_of.select(F.col("a").alias(c), F.col("b").alias("h")), c, "left").withColumn(c, F.coalesce("h", c)).drop("h")
         return pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    first = verified(moved(stage.where("key IS NULL").select("a", "b")))
+    first = verified(moved(found.where("shared + at_pivot >= need").select("a", "b")))
     links = first.where(near).select("a", "b")
     regions = stage.where("key IS NOT NULL").select("key", F.col("a").alias("doc"), "n", F.col("b").alias("pivot"))
     if regions.limit(1).count():
         labels = components(links.union(head_of))
-        at = first.select(F.col("a").alias("x"), F.col("b").alias("y"), (1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("d"))
-        headed = regions.join(head_of.select(F.col("a").alias("doc"), F.col("b").alias("h")), "doc", "left").withColumn("doc", F.coalesce("h", "doc")).drop("h")
-        headed = headed.join(head_of.select(F.col("a").alias("pivot"), F.col("b").alias("h")), "pivot", "left").withColumn("pivot", F.coalesce("h", "pivot")).drop("h").distinct()
-        placed = headed.withColumns({"x": F.greatest("doc", "pivot"), "y": F.least("doc", "pivot")}).join(at, ["x", "y"], "left").withColumn("d", F.when(F.col("doc") == F.col("pivot"), 0.0).otherwise(F.col("d")))
-        placed = placed.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", "d", F.coalesce("component", "doc").alias("label"))
-        open_keys = placed.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("key")
-        left = written(placed.join(open_keys, "key"), "open-regions")
-        other = left.select("key", *(F.col(c).alias(f"{c}2") for c in ("doc", "n", "d", "label")))
-        window = (F.col("doc") > F.col("doc2")) & (F.col("label") != F.col("label2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (F.col("d").isNull() | F.col("d2").isNull() | (F.abs(F.col("d") - F.col("d2")) <= epsilon + 1e-9))
-        rest = left.join(other, "key").where(window).select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-        links = links.union(verified(rest).where(near).select("a", "b"))
+        distance = first.select(F.col("a").alias("x"), F.col("b").alias("y"), (1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("d"))
+        headed = regions
+        for c in ("doc", "pivot"):
+            headed = headed.join(head_of.select(F.col("a").alias(c), F.col("b").alias(f"{c}_head")), c, "left").withColumn(f"{c}_head", F.coalesce(f"{c}_head", c))
+        placed = headed.withColumns({"x": F.greatest("doc_head", "pivot_head"), "y": F.least("doc_head", "pivot_head")}).join(distance, ["x", "y"], "left").withColumn("d", F.when(F.col("doc_head") == F.col("pivot_head"), 0.0).otherwise(F.col("d")))
+        both_labels = placed.join(labels.withColumnRenamed("node", "doc_head"), "doc_head", "left").withColumn("label", F.coalesce("component", "doc_head")).drop("component")
+        both_labels = both_labels.join(labels.withColumnRenamed("node", "pivot_head"), "pivot_head", "left").withColumn("cluster", F.coalesce("component", "pivot_head"))
+        open_keys = both_labels.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("key")
+        member = both_labels.join(open_keys, "key").groupBy("cluster", F.col("doc_head").alias("doc"), "label", "n").agg(F.min_by(F.struct(F.col("pivot_head").alias("pivot"), "d"), F.when(F.col("d").isNotNull(), F.col("pivot_head"))).alias("seen"))
+        links = links.union(crossing(written(member, "open-regions")))
     labels = components(links.union(head_of))
     return sets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
