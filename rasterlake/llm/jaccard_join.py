@@ -59,13 +59,24 @@ def sets_of(raws: list[bytes], size: int) -> list[np.ndarray]:
 
 def level(n):
     """How many shingles of their prefixes two linked documents must share, by the size of the one for which that's fewer."""
-    return 1 + np.minimum(n // 40, 11)
+    return 1 + np.minimum(n // 20, 15)
 
 
 def prefix(n: int, percent: int) -> int:
     return min(n, n - -(-percent * n // 100) + int(level(n)))
 
 
+def short(s: np.ndarray) -> bytes:
+    """Hashes in DIGITS bytes each, sorted."""
+    return np.sort(s & np.uint64((1 << (8 * DIGITS)) - 1)).view(np.uint8).reshape(-1, 8)[:, :DIGITS].tobytes()
+
+
+def unshort(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // DIGITS, 8), np.uint8)
+    out[:, :DIGITS] = np.frombuffer(raw, np.uint8).reshape(-1, DIGITS)
+    return out.view("<u8")[:, 0]
+
+
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return len(np.intersect1d(a, b, True))
 
@@ -85,7 +96,7 @@ def batched(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[lis
         yield ids, held
 
 
-def join(docs: DataFrame, size: int = 4, percent: int = 85, small: int = 16, block: int = 256, task_bytes: int = 6 << 20, shard_bytes: int = 16 << 20, hot_in_task: int = 12, most_hot: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(docs: DataFrame, size: int = 4, percent: int = 85, small: int = 16, block: int = 256, task_bytes: int = 6 << 20, shard_bytes: int = 16 << 20, hot_in_task: int = 4, most_hot: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id.
 
     ``most_hot`` bounds the frequent shingles that are ordered last (and sent to all tasks); it changes how much is compared, never what is found.
@@ -195,20 +206,15 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, small: int = 16, blo
                 rows = []
                 found = sets_of([t.as_py().encode() for t in batch.column(1)], size)
                 for doc, s, asked in zip(batch.column(0).to_pylist(), found, batch.column(2).to_pylist(), strict=True):
-                    raw = np.sort(s & np.uint64((1 << (8 * DIGITS)) - 1)).view(np.uint8).reshape(-1, 8)[:, :DIGITS].tobytes()
+                    raw = short(s)
                     rows += [(r["b"], r["chunk"], r["side"], doc, raw) for r in asked]
                 cols = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["b", "chunk", "side", "doc", "raw"])
 
         def check(part: pa.Table) -> pa.Table:
-            def opened(raw: bytes) -> np.ndarray:
-                out = np.zeros((len(raw) // DIGITS, 8), np.uint8)
-                out[:, :DIGITS] = np.frombuffer(raw, np.uint8).reshape(-1, DIGITS)
-                return out.view("<u8")[:, 0]
-
             side, doc, raws = part["side"].to_pylist(), part["doc"].to_pylist(), part["raw"].to_pylist()
-            heads = [opened(r) for s, r in zip(side, raws, strict=True) if s == 1]
-            rows = [(d, part["b"][0].as_py(), overlap(opened(r), h), len(r) // DIGITS, len(h)) for s, d, r in zip(side, doc, raws, strict=True) if s == 0 for h in heads]
+            heads = [unshort(r) for s, r in zip(side, raws, strict=True) if s == 1]
+            rows = [(d, part["b"][0].as_py(), overlap(unshort(r), h), len(r) // DIGITS, len(h)) for s, d, r in zip(side, doc, raws, strict=True) if s == 0 for h in heads]
             cols = list(zip(*rows, strict=True)) or [()] * 5
             return pa.table({c: pa.array(v, t) for c, v, t in zip(("a", "b", "both", "n_a", "n_b"), cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)})
 
@@ -225,7 +231,7 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, small: int = 16, blo
         def excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in (whole.slice(k, 200) for whole in batches for k in range(0, len(whole), 200)):
                 found = sets_of([t.as_py().encode() for t in batch.column(1)], size)
-                rows = [{**r, "doc": doc, "raw": s.tobytes()} for doc, s, asked in zip(batch.column(0).to_pylist(), found, batch.column(2).to_pylist(), strict=True) for r in asked]
+                rows = [{**r, "doc": doc, "raw": short(s)} for doc, s, asked in zip(batch.column(0).to_pylist(), found, batch.column(2).to_pylist(), strict=True) for r in asked]
                 yield pa.RecordBatch.from_pylist(rows, schema=BLOCK)
 
         BLOCK = pa.schema([("cluster", pa.int64()), ("p", pa.int32()), ("q", pa.int32()), ("first", pa.bool_()), ("second", pa.bool_()), ("label", pa.int64()), ("n", pa.int32()), ("pivot", pa.int64()), ("d", pa.float64()), ("doc", pa.int64()), ("raw", pa.binary())])
@@ -241,7 +247,7 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, small: int = 16, blo
             none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
             if not may.any():
                 return none
-            sets = [np.frombuffer(r, "<u8") for r in part["raw"].to_pylist()]
+            sets = [unshort(r) for r in part["raw"].to_pylist()]
             every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
             _, token, count = np.unique(every, return_inverse=True, return_counts=True)
             shared = count > 1  # other shingles are in no intersection
@@ -287,7 +293,12 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, small: int = 16, blo
         both_labels = placed.join(labels.withColumnRenamed("node", "doc_head"), "doc_head", "left").withColumn("label", F.coalesce("component", "doc_head")).drop("component")
         both_labels = both_labels.join(labels.withColumnRenamed("node", "pivot_head"), "pivot_head", "left").withColumn("cluster", F.coalesce("component", "pivot_head"))
         open_keys = both_labels.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("key")
-        member = both_labels.join(open_keys, "key").groupBy("cluster", F.col("doc_head").alias("doc"), "label", "n").agg(F.min_by(F.struct(F.col("pivot_head").alias("pivot"), "d"), F.when(F.col("d").isNotNull(), F.col("pivot_head"))).alias("seen"))
+        opened = both_labels.join(open_keys, "key")
+        # A document that can't share enough with any other, all its open regions and its best small-region partner counted, links with none of them.
+        partner = found.select("a", "shared").union(found.select("b", "shared")).groupBy(F.col("a").alias("doc")).agg(F.max("shared").alias("most"))
+        reach = opened.groupBy("doc", "doc_head", "n").agg(F.count_distinct("key").alias("k")).join(partner, "doc", "left").groupBy("doc_head", "n").agg(F.max(F.col("k") + F.coalesce("most", F.lit(0))).alias("k"))
+        able = reach.where(F.col("k") >= 1 + F.least(F.floor(F.ceil(F.col("n") * percent / 100) / 20), F.lit(15))).select("doc_head")
+        member = opened.join(able, "doc_head", "left_semi").groupBy("cluster", F.col("doc_head").alias("doc"), "label", "n").agg(F.min_by(F.struct(F.col("pivot_head").alias("pivot"), "d"), F.when(F.col("d").isNotNull(), F.col("pivot_head"))).alias("seen"))
         links = links.union(crossing(written(member, "open-regions")))
     labels = components(links.union(head_of))
     return sets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
