@@ -148,7 +148,7 @@ def removed_windows(docs: DataFrame, task_bytes: int = 24 << 20, shard_bytes: in
             rows, shard = rows[(o := np.lexsort((rows["start"], rows["doc"], shard)))], shard[o]
             begins = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(rows) else np.empty(0, np.int64)
             press = zstandard.ZstdCompressor(level=1).compress
-            out = [(int(shard[a]), 0, press(packed(rows[a:b]))) for a, b in zip(begins, np.append(begins[1:], len(rows)), strict=True)]
+            out = [(int(shard[a]), 0, press(packed(rows[a:b]))) for a, b in zip(begins, np.append(begins[1:], len(rows)), strict=False)]
             if len(gone):
                 out.append((int(gone["anchor"][0] % np.uint64(shards)), 1, press(packed(gone))))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 3, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["shard", "kind", "rows"])
