@@ -14,6 +14,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rasterlake.stages import kept
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings")
 
 #: Rasters derived from tables: the step ``ones`` and the step ``dim`` of each.
@@ -219,7 +221,7 @@ def sql(final: str, fixture: str = "lineitem", dialect: str = "spark", given: tu
     return out
 
 
-#: Steps that longer chains read again and again; they're kept (and recomputed where they get lost).
+#: Steps that longer chains read again and again: each is written once and cuts the plan of those behind it.
 KEPT = ("blocks", "hist", "h1map", "chosen", "placed", "flips", "stego")
 
 
@@ -233,7 +235,7 @@ def run(spark: SparkSession, final: str, sf_dir: str | None = None, fixture: str
     chain = needed(final, fixture, tuple(relations))
     if "placed" in chain:
         for name in (k for k in KEPT if k in chain and k not in relations):
-            relations[name] = _one(spark, f"SELECT * FROM {name}", sf_dir, fixture, relations).persist()
+            relations[name] = kept(_one(spark, f"SELECT * FROM {name}", sf_dir, fixture, relations), name)
     return _one(spark, final, sf_dir, fixture, relations)
 
 
