@@ -10,9 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from rasterlake.operators import custom
 from rasterlake.plans import steps
 
-D = "round({0}, 9) + 0.0 AS {1}"
-
-
 def _d(expression: str, name: str | None = None) -> str:
     """A double to nine places: sums come in another order on another engine."""
     return f"round(CAST({expression} AS DOUBLE), 9) + 0.0 AS {name or expression.rsplit('.', 1)[-1]}"
@@ -52,7 +49,7 @@ SELECTS: dict[str, tuple[str, str]] = {
     "modified_blocks": ("lineitem", f"SELECT image_id, {_n('count(*)', 'changed_pixels')}, {_n('sum(was)', 'cleared')} FROM flips GROUP BY image_id"),
     "extract_h1": ("lineitem", f"SELECT image_id, br, bc, peak, bit, {_n('i')} FROM extracted"),
     "roundtrip_flags": ("lineitem", f"SELECT e.image_id, {_n('count(*)', 'bits')}, {_n('sum(CASE WHEN x.bit = e.bit THEN 1 ELSE 0 END)', 'bits_equal')}, {_n('sum(CASE WHEN x.peak = e.peak THEN 1 ELSE 0 END)', 'blocks_restored')} FROM embedded e LEFT JOIN extracted x ON x.image_id = e.image_id AND x.i = e.i AND x.br = e.br AND x.bc = e.bc GROUP BY e.image_id"),
-    "psnr": ("lineitem", f"SELECT d.image_id, {_n('coalesce(f.n, 0)', 'changed')}, CASE WHEN f.n IS NULL THEN NULL ELSE round(10 * log10(CAST(d.h AS DOUBLE) * d.w / f.n), 9) END AS psnr_db FROM dim d LEFT JOIN (SELECT image_id, count(*) AS n FROM flips GROUP BY image_id) f ON f.image_id = d.image_id"),
+    "psnr": ("lineitem", f"SELECT d.image_id, {_n('coalesce(f.n, 0)', 'changed')}, CASE WHEN f.n IS NULL THEN CAST('Infinity' AS DOUBLE) ELSE round(10 * log10(CAST(d.h AS DOUBLE) * d.w / f.n), 9) END AS psnr_db FROM dim d LEFT JOIN (SELECT image_id, count(*) AS n FROM flips GROUP BY image_id) f ON f.image_id = d.image_id"),
     "drd": ("lineitem", f"SELECT d.image_id, {_n('coalesce(m.n, 0)', 'mixed_blocks')}, {_d('coalesce(f.cost, 0.0) / greatest(coalesce(m.n, 0), 1)', 'drd')} FROM dim d LEFT JOIN (SELECT image_id, sum(cost) AS cost FROM flip_costs GROUP BY image_id) f ON f.image_id = d.image_id LEFT JOIN mixed8 m ON m.image_id = d.image_id"),
     "net_payload": ("lineitem", f"SELECT image_id, {_n('gross_bits - wire_bits', 'net')}, CASE WHEN gross_bits > wire_bits THEN 1 ELSE 0 END AS positive FROM capacity"),
     "flip_cost_map": ("embeddings", f"SELECT image_id, r, c, v, {_d('cost')} FROM flip_cost_map"),
@@ -72,7 +69,7 @@ SELECTS: dict[str, tuple[str, str]] = {
     "diff_matrix": ("embeddings", "SELECT image_id, r, c, d FROM diff"),
     "inverse_diff": ("embeddings", f"SELECT u.image_id, {_n('count(*)', 'pixels')}, {_n('sum(CASE WHEN u.v = p.v THEN 1 ELSE 0 END)', 'equal')} FROM undone u JOIN px p ON p.image_id = u.image_id AND p.r = u.r AND p.c = u.c GROUP BY u.image_id"),
     "diff_pattern_hist": ("embeddings", f"SELECT image_id, p, {_n('count(*)', 'n')} FROM heads GROUP BY image_id, p"),
-    "context_counts_static": ("embeddings", f"SELECT image_id, head, {_n('sum(CASE WHEN p = 15 THEN 1 ELSE 0 END) OVER (PARTITION BY image_id ORDER BY head ROWS BETWEEN 1 FOLLOWING AND 40 FOLLOWING)', 'n15')} FROM heads"),
+    "context_counts_static": ("embeddings", f"SELECT image_id, head, {_n('coalesce(sum(CASE WHEN p = 15 THEN 1 ELSE 0 END) OVER (PARTITION BY image_id ORDER BY head ROWS BETWEEN 1 FOLLOWING AND 40 FOLLOWING), 0)', 'n15')} FROM heads"),
     "substitutes": ("lineitem", "SELECT p, q FROM subst"),
     # Result facts and their analysis
     "runs_fact": ("lineitem", f"SELECT image, method, payload_bits, available, {_n('net')}, {_d('drd')}, {_n('changed')} FROM runs"),
