@@ -56,5 +56,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     )}
 
 
+#: Smallest document or vector that links reach, from links p (x, y) in both directions and nodes v (id).
+REACHED = "r(node, m) AS (SELECT id, id FROM v UNION SELECT p.y, r.m FROM r JOIN p ON p.x = r.node), c AS (SELECT node, min(m) AS m FROM r GROUP BY node)"
+OP4_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
+p AS (SELECT a.id AS x, b.id AS y FROM v a JOIN v b ON a.label = b.label AND a.id <> b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.93), {REACHED}
+SELECT e.vec_id, coalesce(k.n, 0)::BIGINT AS n_links, coalesce(c.m, e.vec_id) AS component_id, coalesce(c.m, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN c ON c.node = e.vec_id LEFT JOIN (SELECT x, count(*) AS n FROM p GROUP BY x) k ON k.x = e.vec_id
+"""
+OP5_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS u(i) WHERE len(w) > 0),
+v AS (SELECT doc_id AS id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT q.x, q.y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id) q JOIN v s ON s.id = q.x JOIN v t ON t.id = q.y WHERE 100 * q.k >= 85 * (s.n + t.n - q.k)), {REACHED}
+SELECT w.doc_id, coalesce(v.n, 0)::BIGINT AS n_shingles, coalesce(c.m, w.doc_id) AS component_id FROM w LEFT JOIN v ON v.id = w.doc_id LEFT JOIN c ON c.node = w.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can say what the method says; tests hold the others against brute force."""
+    return {"op4_embedding_dedup": OP4_SQL, "op5_jaccard_join": OP5_SQL}
