@@ -48,6 +48,22 @@ def size_hint(spark: SparkSession, rows: int, per_part: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_part))
 
 
+#: Ids up to this number (16 MB) are sent to all tasks, to leave rows out before a shuffle; more than that are joined.
+FEW_IDS = 1_000_000
+
+
+def among(rows: DataFrame, column: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """``rows`` whose ``column`` is (left_semi) or isn't (left_anti) in the first column of ``ids``, which has no repeats."""
+    few = ids.select(F.col(ids.columns[0]).alias("__among"))
+    few = F.broadcast(few) if few.limit(FEW_IDS + 1).count() <= FEW_IDS else few.hint("merge")
+    return rows.join(few, rows[column] == few["__among"], how)
+
+
+def requested(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """``texts`` with what is asked of them, by a sort-merge join on doc_id at every size; texts that nothing is asked of don't reach its shuffle."""
+    return among(texts, "doc_id", asked.select("doc_id").distinct()).join(asked.hint("merge"), "doc_id")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges``: rows (node, component), component = smallest node.
 

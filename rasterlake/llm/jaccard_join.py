@@ -6,7 +6,7 @@ everywhere, so the space is first cut into regions that hold every pair below th
 of the first n - ceil(0.85 n) + 1 shingles of their sets, and k of the first n - ceil(0.85 n) + k, in one order for all
 (frequent shingles last); a region is the documents with one such shingle. Inside regions distances differ, and pivots work:
 
-Texts meet what is asked of them in sort-merge joins at every size, never by broadcasting.
+Texts meet what is asked of them in sort-merge joins at every size.
 
 1. Equal sets fold into their smallest doc_id (128-bit signatures and sizes); a task folds them before the shuffle.
 2. Regions of up to ``small`` documents compare all pairs of fitting sizes. Larger ones take their smallest doc_id as
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import components, id_text, written
+from rasterlake.llm.common import among, components, id_text, requested, written
 from rasterlake.llm.grams import shingles, words
 from rasterlake.llm.suffix_dedup import ODD, mixed
 
@@ -220,7 +220,7 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, small: int = 16, blo
             cols = list(zip(*rows, strict=True)) or [()] * 5
             return pa.table({c: pa.array(v, t) for c, v, t in zip(("a", "b", "both", "n_a", "n_b"), cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)})
 
-        cut = texts.join(asked.hint("merge"), "doc_id").select("doc_id", "text", "asked").mapInArrow(excerpts, "b long, chunk long, side int, doc long, raw binary")
+        cut = requested(texts, asked).select("doc_id", "text", "asked").mapInArrow(excerpts, "b long, chunk long, side int, doc long, raw binary")
         return written(cut.groupBy("b", "chunk").applyInArrow(check, "a long, b long, both int, n_a int, n_b int").distinct(), "verified")
 
     def crossing(members: DataFrame) -> DataFrame:
@@ -268,7 +268,7 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, small: int = 16, blo
             _, k = np.unique(np.stack([np.minimum(label[i], label[j]), np.maximum(label[i], label[j])], 1), axis=0, return_index=True)
             return pa.table({"a": pa.array(doc[i[k]]), "b": pa.array(doc[j[k]])})
 
-        cut = texts.join(asked.hint("merge"), "doc_id").select("doc_id", "text", "asked").mapInArrow(excerpts, "cluster long, p int, q int, first boolean, second boolean, label long, n int, pivot long, d double, doc long, raw binary")
+        cut = requested(texts, asked).select("doc_id", "text", "asked").mapInArrow(excerpts, "cluster long, p int, q int, first boolean, second boolean, label long, n int, pivot long, d double, doc long, raw binary")
         return written(cut.groupBy("cluster", "p", "q").applyInArrow(compare_blocks, "a long, b long"), "crossing")
 
     near = F.col("both") * 100 >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))
@@ -321,4 +321,4 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs``, all columns, with one document of each component; rows without words or doc_id stay."""
     gone = join(docs, id_col=id_col, text_col=text_col, **settings).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     gone = written(gone, "gone")
-    return docs.join(gone.hint("merge"), docs[id_col] == gone["__gone"], "left_anti")
+    return among(docs, id_col, gone, "left_anti")
