@@ -67,7 +67,7 @@ def adaptive_roundtrip(blocks: DataFrame, tables: DataFrame, rows_per_band: int
     spans = tables.groupBy("image_id", "peak").agg(F.log2(F.count(F.lit(1))).cast("int").alias("k"))
     carriers = blocks.join(spans, (blocks["image_id"] == spans["image_id"]) & (blocks["pat"] == spans["peak"])).select(blocks["image_id"], "br", "bc", "peak", "k", F.floor(F.col("br") / rows_per_band).alias("band"))
     placed = _offsets(carriers, "k")
-    bit = lambda i: (F.floor((i * 1103515245 + 12345) / 65536) % 2).cast("long")
+    bit = lambda i: (F.floor((i.cast("long") * 1103515245 + 12345) / 65536) % 2).cast("long")
     symbol = F.aggregate(F.sequence(F.lit(0), F.col("k") - 1), F.lit(0).cast("long"), lambda acc, j: acc * 2 + bit(F.col("at") + j))
     marked = placed.withColumn("symbol", symbol.cast("int")).join(tables.select("image_id", "peak", "symbol", "pattern"), ["image_id", "peak", "symbol"])
     inverse = tables.select("image_id", F.col("peak").alias("back"), F.col("symbol").alias("read"), "pattern")
@@ -359,7 +359,7 @@ def q_uniform_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
         "SELECT f.image_id, f.br, f.bc, f.position, CASE WHEN f.pat = 511 THEN 1 ELSE 0 END AS was, row_number() OVER (PARTITION BY f.image_id ORDER BY f.br, f.bc) - 1 AS i FROM best_flip f WHERE f.cost <= 0.7",
         sf_dir, "embeddings",
     )
-    bit = (F.floor((F.col("i") * 1103515245 + 12345) / 65536) % 2).cast("int")
+    bit = (F.floor((F.col("i").cast("long") * 1103515245 + 12345) / 65536) % 2).cast("int")
     ones = F.when(F.col("was") == 1, 9 - bit).otherwise(bit)
     majority = (F.col("ones") >= 5).cast("int")
     read = second.withColumn("bit", bit).withColumn("ones", ones).withColumn("pixel", F.when(F.col("bit") == 1, 1 - F.col("was")).otherwise(F.col("was")))
