@@ -285,6 +285,11 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, small: int = 16, blo
     first = verified(moved(found.where("shared + at_pivot >= need").select("a", "b")))
     links = first.where(near).select("a", "b")
     regions = stage.where("key IS NOT NULL").select("key", F.col("a").alias("doc"), "n", F.col("b").alias("pivot"))
+    # A document that can't share enough with any other, all its large regions and its best small-region partner counted, links with none of them.
+    partner = found.select("a", "shared").union(found.select("b", "shared")).groupBy(F.col("a").alias("doc")).agg(F.max("shared").alias("most"))
+    needed = 1 + F.least(F.floor(F.ceil(F.col("n") * percent / 100) / 20), F.lit(15))
+    within = regions.groupBy("doc", "n").agg(F.count(F.lit(1)).alias("k")).join(partner, "doc", "left").where(F.col("k") + F.coalesce("most", F.lit(0)) >= needed)
+    regions = among(regions, "doc", written(within.select("doc").distinct(), "able"))
     if regions.limit(1).count():
         labels = components(links.union(head_of))
         distance = first.select(F.col("a").alias("x"), F.col("b").alias("y"), (1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("d"))
@@ -296,10 +301,9 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, small: int = 16, blo
         both_labels = both_labels.join(labels.withColumnRenamed("node", "pivot_head"), "pivot_head", "left").withColumn("cluster", F.coalesce("component", "pivot_head"))
         open_keys = both_labels.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("key")
         opened = both_labels.join(open_keys, "key")
-        # A document that can't share enough with any other, all its open regions and its best small-region partner counted, links with none of them.
-        partner = found.select("a", "shared").union(found.select("b", "shared")).groupBy(F.col("a").alias("doc")).agg(F.max("shared").alias("most"))
+        # The same again, counting only what is still open.
         reach = opened.groupBy("doc", "doc_head", "n").agg(F.count_distinct("key").alias("k")).join(partner, "doc", "left").groupBy("doc_head", "n").agg(F.max(F.col("k") + F.coalesce("most", F.lit(0))).alias("k"))
-        able = reach.where(F.col("k") >= 1 + F.least(F.floor(F.ceil(F.col("n") * percent / 100) / 20), F.lit(15))).select("doc_head")
+        able = reach.where(F.col("k") >= needed).select("doc_head")
         member = opened.join(able, "doc_head", "left_semi").groupBy("cluster", F.col("doc_head").alias("doc"), "label", "n").agg(F.min_by(F.struct(F.col("pivot_head").alias("pivot"), "d"), F.when(F.col("d").isNotNull(), F.col("pivot_head"))).alias("seen"))
         links = links.union(crossing(written(member, "open-regions")))
     labels = components(links.union(head_of))
