@@ -61,7 +61,7 @@ def sets_of(raws: list[bytes], size: int) -> list[np.ndarray]:
 
 def level(n):
     """How many shingles of their prefixes two linked documents must share, by the size of the one for which that's fewer."""
-    return 1 + np.minimum(n // 20, 15)
+    return 1 + n // 20
 
 
 def prefix(n: int, percent: int) -> int:
@@ -287,7 +287,7 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, small: int = 16, blo
     regions = stage.where("key IS NOT NULL").select("key", F.col("a").alias("doc"), "n", F.col("b").alias("pivot"))
     # A document that can't share enough with any other, all its large regions and its best small-region partner counted, links with none of them.
     partner = found.select("a", "shared").union(found.select("b", "shared")).groupBy(F.col("a").alias("doc")).agg(F.max("shared").alias("most"))
-    needed = 1 + F.least(F.floor(F.ceil(F.col("n") * percent / 100) / 20), F.lit(15))
+    needed = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 20)
     within = regions.groupBy("doc", "n").agg(F.count(F.lit(1)).alias("k")).join(partner, "doc", "left").where(F.col("k") + F.coalesce("most", F.lit(0)) >= needed)
     regions = among(regions, "doc", written(within.select("doc").distinct(), "able"))
     if regions.limit(1).count():
