@@ -3,8 +3,8 @@
 A step is one SELECT; it names the steps and tables it reads in FROM. ``sql(final)`` puts the steps a query needs
 in a WITH clause. A raster is two relations: ``ones`` (image_id, r, c), the distinct 1-pixels, and ``dim``
 (image_id, h, w); all other steps follow from these. Few things differ between Spark and the SQL that
-results are held against, and they're written as ``XOR(a, b)``, ``RANGE(n)`` (a relation with column x), ``AT(array, i)`` and
-``EACH(n, i)`` (the relation before it, once for each i below n).
+results are held against, and they're written as ``XOR(a, b)``, ``RANGE(n)`` (a relation with column x), ``AT(array, i)``,
+``EACH(n, i)`` (the relation before it, once for each i below n) and ``CHARS(text, ch)`` (once for each character).
 """
 
 from __future__ import annotations
@@ -146,7 +146,7 @@ STEPS: dict[str, str] = {
     "delta_ranks": "SELECT q.*, CASE WHEN d = 0 THEN 0.0 ELSE k + (ties - 1) / 2.0 END AS mean_rank FROM (SELECT d.*, rank() OVER (PARTITION BY payload_bits, competitor ORDER BY abs(d)) AS k, count(*) OVER (PARTITION BY payload_bits, competitor, abs(d)) AS ties FROM deltas d WHERE d <> 0) q",
     "wilcoxon": """SELECT payload_bits, competitor, count(*) AS n, sum(CASE WHEN d > 0 THEN mean_rank ELSE 0.0 END) AS w_plus, sum(CASE WHEN d < 0 THEN mean_rank ELSE 0.0 END) AS w_minus, sum(CAST(ties AS DOUBLE) * ties - 1) AS tie_term FROM delta_ranks GROUP BY payload_bits, competitor""",
     "z_scores": "SELECT payload_bits, competitor, n, w_plus, w_minus, (least(w_plus, w_minus) - n * (n + 1) / 4.0) / sqrt(greatest(n * (n + 1.0) * (2 * n + 1) / 24.0 - tie_term / 48.0, 1e-12)) AS z FROM wilcoxon",
-    "gray": "SELECT lang AS image_id, least(ascii(substr(text, CAST(k.x AS INT) + 1, 1)), 255) AS g FROM documents CROSS JOIN RANGE(96) k WHERE length(text) > k.x",
+    "gray": "SELECT d.lang AS image_id, least(ascii(ch), 255) AS g FROM documents d CHARS(d.text, ch) WHERE ch <> ''",
     "gray_hist": "SELECT image_id, g, count(*) AS n FROM gray GROUP BY image_id, g",
     "gray_prefix": "SELECT image_id, g, n, sum(n) OVER p AS w0, sum(n) OVER (PARTITION BY image_id) - sum(n) OVER p AS w1, sum(n * g) OVER p AS s0, sum(n * g) OVER (PARTITION BY image_id) - sum(n * g) OVER p AS s1 FROM gray_hist WINDOW p AS (PARTITION BY image_id ORDER BY g ROWS UNBOUNDED PRECEDING)",
     "otsu": "SELECT image_id, g AS threshold FROM (SELECT image_id, g, row_number() OVER (PARTITION BY image_id ORDER BY CAST(w0 AS DOUBLE) * w1 * (s0 / CAST(w0 AS DOUBLE) - s1 / CAST(w1 AS DOUBLE)) * (s0 / CAST(w0 AS DOUBLE) - s1 / CAST(w1 AS DOUBLE)) DESC, g) AS o FROM gray_prefix WHERE w1 > 0) q WHERE o = 1",
@@ -212,6 +212,7 @@ def sql(final: str, fixture: str = "lineitem", dialect: str = "spark", given: tu
     out = re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1e0", out)  # else decimals
     once = r"slice(sequence(0, \1), 1, \1)"
     out = re.sub(r"EACH\(((?:[^(),]|\((?:[^()]|\([^()]*\))*\))+),\s*(\w+)\)", f"LATERAL VIEW explode({once}) each_\\2 AS \\2" if dialect == "spark" else r"CROSS JOIN unnest(range(0, \1)) AS each_\2(\2)", out)
+    out = re.sub(r"CHARS\(([\w.]+),\s*(\w+)\)", r"LATERAL VIEW explode(split(\1, '')) each_\2 AS \2" if dialect == "spark" else r"CROSS JOIN unnest(string_split(\1, '')) AS each_\2(\2)", out)
     for name, form in swap.items():
         while re.search(rf"\b{name}\(", out):
             new = re.sub(rf"\b{name}\(((?:[^(),]|\([^()]*\))+),\s*((?:[^(),]|\([^()]*\))+)\)", form, out)

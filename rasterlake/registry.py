@@ -23,7 +23,7 @@ def _n(expression: str, name: str | None = None) -> str:
 SELECTS: dict[str, tuple[str, str]] = {
     # Geometry and tiles
     "px_binary": ("embeddings", f"SELECT image_id, {_n('count(*)', 'pixels')}, {_n('sum(v)', 'foreground')}, {_n('sum(v * (r * 7 + c))', 'checksum')} FROM px GROUP BY image_id"),
-    "threshold_source": ("lineitem", f"SELECT image_id, {_n('count(*)', 'pixels')}, {_n('sum(CASE WHEN g >= 110 THEN 1 ELSE 0 END)', 'foreground')} FROM gray GROUP BY image_id"),
+    "threshold_source": ("lineitem", f"SELECT image_id, {_n('sum(n)', 'pixels')}, {_n('sum(CASE WHEN g >= 110 THEN n ELSE 0 END)', 'foreground')} FROM gray_hist GROUP BY image_id"),
     "blocks": ("lineitem", "SELECT image_id, br, bc, pat FROM blocks"),
     "blocks_events": ("events", "SELECT image_id, br, bc, pat FROM blocks"),
     "pattern_hist": ("lineitem", f"SELECT image_id, pat, {_n('n')} FROM hist"),
@@ -89,7 +89,7 @@ SELECTS: dict[str, tuple[str, str]] = {
     "tradeoff_area": ("lineitem", f"SELECT method, {_d('sum((drd - x) * (net + y) / 2.0)', 'area')} FROM (SELECT method, drd, net, lag(drd) OVER w AS x, lag(net) OVER w AS y FROM (SELECT method, payload_bits, avg(drd) AS drd, avg(net) AS net FROM runs WHERE available GROUP BY method, payload_bits) q WINDOW w AS (PARTITION BY method ORDER BY round(drd, 9), payload_bits)) z WHERE x IS NOT NULL GROUP BY method"),
     "availability": ("lineitem", f"SELECT payload_bits, method, {_d('100 * avg(CASE WHEN available THEN 1.0 ELSE 0.0 END)', 'percent')} FROM runs GROUP BY payload_bits, method"),
     "otsu_threshold": ("lineitem", f"SELECT image_id, {_n('threshold')} FROM otsu"),
-    "otsu_suitability": ("lineitem", f"SELECT g.image_id, {_d('avg(CASE WHEN (g.g >= 110) = (g.g >= o.threshold) THEN 1.0 ELSE 0.0 END)', 'agreement')}, {_d('avg(CASE WHEN g.g >= 110 THEN 1.0 ELSE 0.0 END)', 'foreground')} FROM gray g JOIN otsu o ON o.image_id = g.image_id GROUP BY g.image_id"),
+    "otsu_suitability": ("lineitem", f"SELECT g.image_id, {_d('sum(CASE WHEN (g.g >= 110) = (g.g >= o.threshold) THEN g.n ELSE 0 END) / CAST(sum(g.n) AS DOUBLE)', 'agreement')}, {_d('sum(CASE WHEN g.g >= 110 THEN g.n ELSE 0 END) / CAST(sum(g.n) AS DOUBLE)', 'foreground')} FROM gray_hist g JOIN otsu o ON o.image_id = g.image_id GROUP BY g.image_id"),
     "train_test_split": ("lineitem", f"SELECT part, {_n('count(*)', 'n')}, {_n('sum(p_partkey)', 'checksum')} FROM (SELECT p_partkey, CASE WHEN row_number() OVER (ORDER BY ((p_partkey * 1103515245 + 12345) % 1000003), p_partkey) <= 100 THEN 'train' ELSE 'test' END AS part FROM part) q GROUP BY part"),
     "seeded_sample": ("lineitem", "SELECT p_partkey FROM (SELECT p_partkey, row_number() OVER (ORDER BY ((p_partkey * 1103515245 + 12345) % 1000003), p_partkey) AS o FROM part) q WHERE o <= 50"),
     "message_bits": ("lineitem", f"SELECT x AS i, {_n(steps.BIT.format(i='x'), 'bit')} FROM RANGE(4096) k"),
