@@ -140,7 +140,7 @@ STEPS: dict[str, str] = {
     # Result facts of a study: image, method, payload and measures, from line items
     "runs": """SELECT concat('i', CAST(l_suppkey % 40 AS STRING)) AS image, concat('m', CAST(l_linenumber % 4 AS STRING)) AS method, CAST(64 * (1 << CAST(l_partkey % 4 AS INT)) AS INT) AS payload_bits,
         count(*) >= 3 AS available, CAST(sum(CAST(floor(l_quantity) AS BIGINT)) % 997 AS BIGINT) - 300 AS net, sum(CAST(round(l_discount * 100) AS BIGINT)) / CAST(count(*) AS DOUBLE) / 10.0 AS drd, CAST(max(CAST(floor(l_extendedprice) AS BIGINT)) % 500 AS BIGINT) AS changed
-        FROM lineitem WHERE l_linenumber <= 4 GROUP BY concat('i', CAST(l_suppkey % 40 AS STRING)), concat('m', CAST(l_linenumber % 4 AS STRING)), CAST(64 * (1 << CAST(l_partkey % 4 AS INT)) AS INT)""",
+        FROM lineitem GROUP BY concat('i', CAST(l_suppkey % 40 AS STRING)), concat('m', CAST(l_linenumber % 4 AS STRING)), CAST(64 * (1 << CAST(l_partkey % 4 AS INT)) AS INT)""",
     "matched": "SELECT payload_bits, image FROM runs WHERE available GROUP BY payload_bits, image HAVING count(DISTINCT method) = 4",
     "deltas": "SELECT a.payload_bits, b.method AS competitor, a.image, a.net - b.net AS d FROM runs a JOIN runs b ON b.payload_bits = a.payload_bits AND b.image = a.image AND b.method <> 'm1' AND a.method = 'm1' AND a.available AND b.available",
     "delta_ranks": "SELECT q.*, CASE WHEN d = 0 THEN 0.0 ELSE k + (ties - 1) / 2.0 END AS mean_rank FROM (SELECT d.*, rank() OVER (PARTITION BY payload_bits, competitor ORDER BY abs(d)) AS k, count(*) OVER (PARTITION BY payload_bits, competitor, abs(d)) AS ties FROM deltas d WHERE d <> 0) q",
