@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,25 +45,51 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def size_hint(spark: SparkSession, rows: int, per_part: int) -> int:
-    """Partitions for ``rows`` rows, never fewer than the session's shuffle partitions."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_part))
+#: Buckets of ids, each with 64 flags: what is sent to all tasks to leave rows out before a shuffle has this many rows at most, however many ids there are.
+ID_BUCKETS = 1 << 20
 
 
-#: Ids up to this number (16 MB) are sent to all tasks, to leave rows out before a shuffle; more than that are joined.
-FEW_IDS = 1_000_000
+def _flag(column) -> tuple:
+    return F.pmod(F.xxhash64(column), F.lit(ID_BUCKETS)), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(column), F.lit(64)))
+
+
+def flagged(rows: DataFrame, column: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """``rows`` whose id has its flag set among ``ids`` (left_semi), or hasn't (left_anti): all that are among them and, by chance, some others."""
+    bucket, flag = _flag(F.col(ids.columns[0]).cast("long"))
+    flags = ids.select(bucket.alias("__bucket"), flag.alias("__flag")).groupBy("__bucket").agg(F.bit_or("__flag").alias("__flags"))
+    bucket, flag = _flag(rows[column].cast("long"))
+    return rows.join(F.broadcast(flags), (bucket == F.col("__bucket")) & (F.col("__flags").bitwiseAND(flag) != 0), how)
 
 
 def among(rows: DataFrame, column: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """``rows`` whose ``column`` is (left_semi) or isn't (left_anti) in the first column of ``ids``, which has no repeats."""
-    few = ids.select(F.col(ids.columns[0]).alias("__among"))
-    few = F.broadcast(few) if few.limit(FEW_IDS + 1).count() <= FEW_IDS else few.hint("merge")
-    return rows.join(few, rows[column] == few["__among"], how)
+    """``rows`` whose ``column`` is (left_semi) or isn't (left_anti) in the first column of ``ids``.
+
+    One plan at every size: flags of bounded number keep most rows out of the exact sort-merge join, and fewer of them the more ids there are.
+    """
+    exact = ids.select(F.col(ids.columns[0]).alias("__among")).hint("merge")
+    maybe = flagged(rows, column, ids, "left_semi")
+    decided = maybe.join(exact, maybe[column] == exact["__among"], how)
+    return decided if how == "left_semi" else flagged(rows, column, ids, "left_anti").union(decided)
 
 
 def requested(texts: DataFrame, asked: DataFrame) -> DataFrame:
-    """``texts`` with what is asked of them, by a sort-merge join on doc_id at every size; texts that nothing is asked of don't reach its shuffle."""
-    return among(texts, "doc_id", asked.select("doc_id").distinct()).join(asked.hint("merge"), "doc_id")
+    """``texts`` with what is asked of them (a written table, as it's read twice); most texts that nothing is asked of don't reach the shuffle of the join."""
+    return flagged(texts, "doc_id", asked, "left_semi").join(asked.hint("merge"), "doc_id")
+
+
+def batched(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list, list[bytes]]]:
+    """(ids, texts) of at least ``limit`` bytes at a time."""
+    ids, held, size = [], [], 0
+    for batch in batches:
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids.append(doc)
+            held.append(text.as_py().encode())
+            size += len(held[-1])
+            if size >= limit:
+                yield ids, held
+                ids, held, size = [], [], 0
+    if ids:
+        yield ids, held
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

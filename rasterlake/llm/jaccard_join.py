@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import among, components, id_text, requested, written
+from rasterlake.llm.common import among, batched, components, id_text, requested, written
 from rasterlake.llm.grams import shingles, words
 from rasterlake.llm.suffix_dedup import ODD, mixed
 
@@ -83,21 +83,6 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return len(np.intersect1d(a, b, True))
 
 
-def batched(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list, list[bytes]]]:
-    """(ids, texts) of at least ``limit`` bytes at a time."""
-    ids, held, size = [], [], 0
-    for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids.append(doc)
-            held.append(text.as_py().encode())
-            size += len(held[-1])
-            if size >= limit:
-                yield ids, held
-                ids, held, size = [], [], 0
-    if ids:
-        yield ids, held
-
-
 def join(docs: DataFrame, size: int = 4, percent: int = 85, small: int = 16, block: int = 256, task_bytes: int = 6 << 20, shard_bytes: int = 16 << 20, hot_in_task: int = 4, most_hot: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id.
 
