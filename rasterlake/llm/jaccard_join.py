@@ -6,16 +6,16 @@ everywhere, so the space is first cut into regions that hold every pair below th
 of the first n - ceil(0.85 n) + 1 shingles of their sets, and k of the first n - ceil(0.85 n) + k, in one order for all
 (frequent shingles last); a region is the documents with one such shingle. Inside regions distances differ, and pivots work:
 
-Texts meet what is asked of them in sort-merge joins at every size.
-
 1. Equal sets fold into their smallest doc_id (128-bit signatures and sizes); a task folds them before the shuffle.
-2. Regions of up to ``small`` documents compare all pairs of fitting sizes. Larger ones take their smallest doc_id as
-   pivot and compare every document with it: those within 0.15 are one component at once.
-3. Large regions whose documents are still in different components are joined again, by the component of their pivot:
-   blocks of documents meet in tasks, which intersect the sets of those whose components differ and whose distances to a
-   common pivot differ by at most 0.15 (the triangle window; others can't link), and return one link for two components.
+2. Prefix regions of up to ``small`` documents compare all pairs of fitting sizes. Larger ones compare every document with their smallest doc_id: those within 0.15
+   are one component at once. Compared pairs are verified on whole sets, in groups by the smaller document and in chunks of bounded size.
+3. Large prefix regions whose documents are still in different components are clusters of a metric space of their own, joined by ``voronoi``: pivots are drawn from
+   each region, every document goes to the region of its nearest pivot and, as two linked documents' distances to any pivot differ by at most 0.15, is
+   copied to those regions whose pivot is at most 0.3 farther away: no link is lost. Documents that share nothing with any pivot make a region
+   of their own, with those at 0.85 or more from all. Regions over ``block`` documents or ``weight`` shingles are
+   divided again by pivots of their own, as long as that makes them smaller; one whose documents are all about as far from every pivot is
+   joined as it is, in blocks. Tasks intersect the sets of documents whose components differ, and return one link for two components.
    After this no pair that could join two components is left, so components are exact.
-4. All other compared pairs are verified on whole sets, in groups by the smaller document and in chunks of bounded size.
 
 Sets hold 64-bit hashes of shingles. A-Z are lower-cased; a document with fewer words than a shingle has its whole sequence as the
 only one; without words or text the set is empty and links with nothing. Rows with one doc_id are versions of one
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterlake.llm.common import among, batched, components, id_text, requested, written
@@ -36,7 +36,8 @@ from rasterlake.llm.grams import shingles, words
 from rasterlake.llm.suffix_dedup import ODD, mixed
 
 ROW = np.dtype([("key", "<u8"), ("doc", "<i8"), ("n", "<i4")])
-DIGITS = 6  # bytes of each hash that are sent for verification
+#: Pivots that a region draws; how much smaller than the region its largest part must be; how much all parts together may hold.
+PIVOTS, SMALLER, COPIED = 8, 0.8, 3.0
 
 
 def sets_of(raws: list[bytes], size: int) -> list[np.ndarray]:
@@ -68,22 +69,118 @@ def prefix(n: int, percent: int) -> int:
     return min(n, n - -(-percent * n // 100) + int(level(n)))
 
 
-def short(s: np.ndarray) -> bytes:
-    """Hashes in DIGITS bytes each, sorted."""
-    return np.sort(s & np.uint64((1 << (8 * DIGITS)) - 1)).view(np.uint8).reshape(-1, 8)[:, :DIGITS].tobytes()
-
-
-def unshort(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // DIGITS, 8), np.uint8)
-    out[:, :DIGITS] = np.frombuffer(raw, np.uint8).reshape(-1, DIGITS)
-    return out.view("<u8")[:, 0]
-
-
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return len(np.intersect1d(a, b, True))
 
 
-def join(docs: DataFrame, size: int = 4, percent: int = 85, small: int = 16, block: int = 256, task_bytes: int = 6 << 20, shard_bytes: int = 16 << 20, hot_in_task: int = 4, most_hot: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shared_counts(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray, rare: int = 16, slab: int = 4096) -> np.ndarray:
+    """How many elements each set of ``one`` shares with each of ``two``: rare elements by their pairs of sets, others as products of 0/1 matrices."""
+    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    begin = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.empty(0, np.int64)
+    count = np.diff(np.append(begin, len(every)))
+    row, column = (np.full(len(sets), -1) for _ in range(2))
+    row[one], column[two] = np.arange(len(one)), np.arange(len(two))
+    both = np.zeros(len(one) * len(two), np.float32)
+    for c in range(2, rare + 1):
+        at = begin[count == c]
+        for k in range(0, len(at), 1 << 14):
+            held = owner[at[k : k + (1 << 14), None] + np.arange(c)]
+            i, j = np.broadcast_to(row[held][:, :, None], (len(held), c, c)).ravel(), np.broadcast_to(column[held][:, None, :], (len(held), c, c)).ravel()
+            use = (i >= 0) & (j >= 0)
+            both += np.bincount(i[use] * len(two) + j[use], minlength=len(both)).astype(np.float32)
+    both = both.reshape(len(one), len(two))
+    often = np.flatnonzero(count > rare)
+    for k in range(0, len(often), slab):
+        part = often[k : k + slab]
+        has = np.zeros((len(sets), len(part)), np.float32)
+        has[owner[np.repeat(begin[part], count[part]) + np.arange(count[part].sum()) - np.repeat(np.cumsum(count[part]) - count[part], count[part])], np.repeat(np.arange(len(part)), count[part])] = 1
+        both += has[one] @ has[two].T
+    return both
+
+
+def nearest(sets: list[np.ndarray], pivots: list[np.ndarray], epsilon: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each set's region and the regions (sets x pivots + 1) that it belongs to.
+
+    A set's own region is that of its nearest pivot; it belongs to those too whose pivot is at most 2 ``epsilon`` farther away. Sets that share nothing with any pivot
+    have the last region, to which those belong that stand at 1 - ``epsilon`` or more from every pivot.
+    """
+    every, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
+    ends = np.append(0, np.cumsum(sizes))
+    distance = np.empty((len(sets), len(pivots)))
+    for j, p in enumerate(pivots):
+        place = np.minimum(np.searchsorted(p, every), len(p) - 1)
+        hits = np.append(0, np.cumsum(p[place] == every))
+        both = hits[ends[1:]] - hits[ends[:-1]]
+        distance[:, j] = 1 - both / (sizes + len(p) - both)
+    least = distance.min(1)
+    inside = np.column_stack([(distance <= least[:, None] + 2 * epsilon + 1e-9) & (least < 1)[:, None], least >= 1 - epsilon - 1e-9])
+    return np.where(least < 1, distance.argmin(1), len(pivots)), inside
+
+
+def voronoi(members: DataFrame, space: DataFrame, percent: int, block: int, weight: int) -> DataFrame:
+    """Links (a, b) between components, one at least for any two that have some, in each cluster of ``members`` (cluster, doc, label, n); ``space`` has the sets (doc, raw)."""
+    epsilon = 1 - percent / 100
+
+    def sized(rows: DataFrame) -> DataFrame:
+        """Regions that have two components or more, with their size."""
+        found = rows.groupBy("region").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("docs"), (F.min("label") != F.max("label")).alias("mixed")).where("mixed").drop("mixed")
+        return found.withColumn("blocks", F.greatest(F.ceil(F.col("total") / weight), F.ceil(F.col("docs") / block)).cast("int"))
+
+    def assign(part: pa.Table) -> pa.Table:
+        pivot = part["pivot"].to_pylist()
+        sets = [np.frombuffer(r, "<u8") for r in part["raw"].to_pylist()]
+        chosen = [s for s, p in zip(sets, pivot, strict=True) if p]
+        rest = np.array([k for k, p in enumerate(pivot) if not p], np.int64)
+        home, inside = nearest([sets[k] for k in rest], chosen, epsilon)
+        i, j = np.nonzero(inside)
+        names = mixed(np.array([part["region"][0].as_py()], np.int64).view(np.uint64) + ODD[11] * (np.arange(len(chosen) + 1, dtype=np.uint64) + np.uint64(1))).view(np.int64)
+        rows = part.select(["region", "doc", "label", "n"]).take(pa.array(rest[i]))
+        return rows.append_column("part", pa.array(names[j])).append_column("at_home", pa.array(home[i] == j))
+
+    finished, now = [], members.select(F.col("cluster").alias("region"), "doc", "label", "n")
+    while True:
+        sizes = written(sized(now), "region-sizes")
+        finished.append(now.join(sizes.where("blocks = 1"), "region"))
+        large = sizes.where("blocks > 1")
+        if not large.limit(1).count():
+            break
+        rows = written(now.join(large, "region"), "regions")
+        # A region's pivots are of bounded number, so they can go to each of its chunks.
+        drawn = rows.withColumn("r", F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("doc", "region"), "doc"))).where(F.col("r") <= PIVOTS)
+        drawn = drawn.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+        both = dealt.select("region", "chunk", "doc", "label", "n", F.lit(False).alias("pivot")).union(drawn.select("region", "chunk", "doc", "label", "n", F.lit(True)))
+        parts = both.join(space, "doc").groupBy("region", "chunk").applyInArrow(assign, "region long, doc long, label long, n int, part long, at_home boolean")
+        parts = written(parts.distinct(), "region-parts")
+        whole = parts.groupBy("region", "part").agg(F.sum("n").alias("w")).groupBy("region").agg(F.max("w").alias("most"), F.sum("w").alias("all")).join(large, "region")
+        divided = whole.where((F.col("most") <= SMALLER * F.col("total")) & (F.col("all") <= COPIED * F.col("total"))).select("region")
+        finished.append(rows.join(divided, "region", "left_anti"))
+        now = written(parts.join(divided, "region", "left_semi").select(F.col("part").alias("region"), "doc", "label", "n").distinct(), "regions")
+
+    def compare_blocks(part: pa.Table) -> pa.Table:
+        label, n, doc = (part[c].to_numpy() for c in ("label", "n", "doc"))
+        one, two = np.flatnonzero(part["first"].to_numpy(zero_copy_only=False)), np.flatnonzero(part["second"].to_numpy(zero_copy_only=False))
+        x, y = one[:, None], two[None, :]
+        may = (label[x] != label[y]) & (doc[x] != doc[y]) & (100 * np.minimum(n[x], n[y]).astype(np.int64) >= percent * np.maximum(n[x], n[y]).astype(np.int64))
+        if not may.any():
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        both = shared_counts([np.frombuffer(r, "<u8") for r in part["raw"].to_pylist()], one, two)
+        i, j = np.nonzero(may & (100 * both >= percent * (n[x] + n[y] - both)))
+        i, j = one[i], two[j]
+        _, k = np.unique(np.stack([np.minimum(label[i], label[j]), np.maximum(label[i], label[j])], 1), axis=0, return_index=True)
+        return pa.table({"a": pa.array(doc[i[k]]), "b": pa.array(doc[j[k]])})
+
+    last = finished[0]
+    for more in finished[1:]:
+        last = last.unionByName(more)
+    dealt = last.withColumn("at", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("region", F.least("at", "o").alias("p"), F.greatest("at", "o").alias("q"), (F.col("at") <= F.col("o")).alias("first"), (F.col("at") >= F.col("o")).alias("second"), "doc", "label", "n")
+    return written(dealt.join(space, "doc").groupBy("region", "p", "q").applyInArrow(compare_blocks, "a long, b long").distinct(), "region-links")
+
+
+def join(docs: DataFrame, size: int = 4, percent: int = 85, small: int = 16, block: int = 1024, weight: int = 1 << 20, task_bytes: int = 2 << 20, shuffle_bytes: int = 8 << 20, shard_bytes: int = 16 << 20, hot_in_task: int = 4, most_hot: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id.
 
     ``most_hot`` bounds the frequent shingles that are ordered last (and sent to all tasks); it changes how much is compared, never what is found.
@@ -94,7 +191,6 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, small: int = 16, blo
     texts = id_text(docs, id_col, text_col)
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_bytes))
-    epsilon = 1 - percent / 100
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, held in batched(batches, task_bytes):
@@ -118,34 +214,46 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, small: int = 16, blo
     sets = summary.where("NOT often")
     same = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "one", "two").agg(F.min("doc_id").alias("head"))
 
+    def prefixes(ids: list[int], held: list[bytes]) -> list[np.ndarray]:
+        """The prefixes of the texts' sets; of equal sets only that of the smallest id."""
+        order = sorted(range(len(ids)), key=ids.__getitem__)
+        found = sets_of([held[k] for k in order], size)
+        every = np.concatenate(found)
+        place = np.searchsorted(hot, every)
+        often = hot[np.minimum(place, len(hot) - 1)] == every if len(hot) else np.zeros(len(every), bool)
+        made, seen = [], set()
+        for k, s, end in zip(order, found, np.cumsum([len(s) for s in found]).tolist(), strict=True):
+            if not len(s) or (mark := s.tobytes()) in seen:
+                continue
+            seen.add(mark)
+            frequent = often[end - len(s) : end]
+            use = np.concatenate([s[~frequent], s[frequent]])[: prefix(len(s), percent)]
+            rows = np.empty(len(use), ROW)
+            rows["key"], rows["doc"], rows["n"] = use, ids[k], len(s)
+            made.append(rows)
+        return made
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1).compress
-        for ids, held in batched(batches, task_bytes):
-            made, seen = [], set()
-            order = sorted(range(len(ids)), key=ids.__getitem__)
-            found = sets_of([held[k] for k in order], size)
-            every = np.concatenate(found)
-            place = np.searchsorted(hot, every)
-            often = hot[np.minimum(place, len(hot) - 1)] == every if len(hot) else np.zeros(len(every), bool)
-            ends = np.cumsum([len(s) for s in found])
-            for k, s, end in zip(order, found, ends.tolist(), strict=True):
-                if not len(s) or (mark := s.tobytes()) in seen:
-                    continue
-                seen.add(mark)
-                frequent = often[end - len(s) : end]
-                use = np.concatenate([s[~frequent], s[frequent]])[: prefix(len(s), percent)]
-                rows = np.empty(len(use), ROW)
-                rows["key"], rows["doc"], rows["n"] = use, ids[k], len(s)
-                made.append(rows)
-            if not made:
-                continue
+
+        def dealt(made: list[np.ndarray]) -> pa.RecordBatch:
             rows = np.concatenate(made)
             shard = (rows["key"] % np.uint64(shards)).astype(np.int64)
             rows = rows[np.argsort(shard, kind="stable")]
             shard = np.sort(shard)
             begins = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
             out = [(int(shard[a]), press(packed(rows[a:b]))) for a, b in zip(begins, np.append(begins[1:], len(rows)), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["shard", "rows"])
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["shard", "rows"])
+
+        made, held_bytes = [], 0
+        for ids, held in batched(batches, task_bytes):
+            made += prefixes(ids, held)
+            held_bytes += sum(map(len, held))
+            if held_bytes >= shuffle_bytes and made:
+                yield dealt(made)
+                made, held_bytes = [], 0
+        if made:
+            yield dealt(made)
 
     def compare(part: pa.Table) -> pa.Table:
         open_ = zstandard.ZstdDecompressor().decompress
@@ -193,69 +301,21 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, small: int = 16, blo
                 rows = []
                 found = sets_of([t.as_py().encode() for t in batch.column(1)], size)
                 for doc, s, asked in zip(batch.column(0).to_pylist(), found, batch.column(2).to_pylist(), strict=True):
-                    raw = short(s)
+                    raw = s.tobytes()
                     rows += [(r["b"], r["chunk"], r["side"], doc, raw) for r in asked]
                 cols = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["b", "chunk", "side", "doc", "raw"])
 
         def check(part: pa.Table) -> pa.Table:
             side, doc, raws = part["side"].to_pylist(), part["doc"].to_pylist(), part["raw"].to_pylist()
-            heads = [unshort(r) for s, r in zip(side, raws, strict=True) if s == 1]
-            rows = [(d, part["b"][0].as_py(), overlap(unshort(r), h), len(r) // DIGITS, len(h)) for s, d, r in zip(side, doc, raws, strict=True) if s == 0 for h in heads]
+            heads = [np.frombuffer(r, "<u8") for s, r in zip(side, raws, strict=True) if s == 1]
+            rows = [(d, part["b"][0].as_py(), overlap(np.frombuffer(r, "<u8"), h), len(r) // 8, len(h)) for s, d, r in zip(side, doc, raws, strict=True) if s == 0 for h in heads]
             cols = list(zip(*rows, strict=True)) or [()] * 5
             return pa.table({c: pa.array(v, t) for c, v, t in zip(("a", "b", "both", "n_a", "n_b"), cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)})
 
-        cut = requested(texts, asked).select("doc_id", "text", "asked").mapInArrow(excerpts, "b long, chunk long, side int, doc long, raw binary")
+        cut = requested(texts, written(asked, "asked")).select("doc_id", "text", "asked").mapInArrow(excerpts, "b long, chunk long, side int, doc long, raw binary")
         return written(cut.groupBy("b", "chunk").applyInArrow(check, "a long, b long, both int, n_a int, n_b int").distinct(), "verified")
 
-    def crossing(members: DataFrame) -> DataFrame:
-        """Links between components inside clusters of open regions: blocks of ``block`` documents against each other, one link for two components."""
-        sizes = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-        dealt = members.join(sizes, "cluster").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("at", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-        asked = dealt.select(F.col("doc").alias("doc_id"), F.struct("cluster", F.least("at", "o").alias("p"), F.greatest("at", "o").alias("q"), (F.col("at") <= F.col("o")).alias("first"), (F.col("at") >= F.col("o")).alias("second"), "label", "n", F.col("seen.pivot").alias("pivot"), F.col("seen.d").alias("d")).alias("r"))
-        asked = asked.groupBy("doc_id", F.pmod(F.xxhash64("r.cluster", "r.p", "r.q"), F.lit(64)).alias("part")).agg(F.collect_list("r").alias("asked"))
-
-        def excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in (whole.slice(k, 200) for whole in batches for k in range(0, len(whole), 200)):
-                found = sets_of([t.as_py().encode() for t in batch.column(1)], size)
-                rows = [{**r, "doc": doc, "raw": short(s)} for doc, s, asked in zip(batch.column(0).to_pylist(), found, batch.column(2).to_pylist(), strict=True) for r in asked]
-                yield pa.RecordBatch.from_pylist(rows, schema=BLOCK)
-
-        BLOCK = pa.schema([("cluster", pa.int64()), ("p", pa.int32()), ("q", pa.int32()), ("first", pa.bool_()), ("second", pa.bool_()), ("label", pa.int64()), ("n", pa.int32()), ("pivot", pa.int64()), ("d", pa.float64()), ("doc", pa.int64()), ("raw", pa.binary())])
-
-        def compare_blocks(part: pa.Table) -> pa.Table:
-            label, n, doc = (part[c].to_numpy() for c in ("label", "n", "doc"))
-            pivot, d = (np.array(part[c].fill_null(v)) for c, v in (("pivot", -1), ("d", 0.0)))
-            known = ~np.array(part["d"].is_null())
-            one, two = np.flatnonzero(part["first"].to_numpy(zero_copy_only=False)), np.flatnonzero(part["second"].to_numpy(zero_copy_only=False))
-            x, y = one[:, None], two[None, :]
-            may = (label[x] != label[y]) & (doc[x] != doc[y]) & (100 * np.minimum(n[x], n[y]).astype(np.int64) >= percent * np.maximum(n[x], n[y]).astype(np.int64))
-            may &= ~(known[x] & known[y] & (pivot[x] == pivot[y]) & (np.abs(d[x] - d[y]) > epsilon + 1e-9))
-            none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-            if not may.any():
-                return none
-            sets = [unshort(r) for r in part["raw"].to_pylist()]
-            every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            _, token, count = np.unique(every, return_inverse=True, return_counts=True)
-            shared = count > 1  # other shingles are in no intersection
-            number = np.cumsum(shared) - 1
-            use = shared[token]
-            token, owner = number[token[use]], owner[use]
-            both = np.zeros((len(one), len(two)), np.float32)
-            for low in range(0, int(shared.sum()), 4096):
-                here = (token >= low) & (token < low + 4096)
-                has = np.zeros((len(sets), 4096), np.float32)
-                has[owner[here], token[here] - low] = 1
-                both += has[one] @ has[two].T
-            linked = may & (100 * both >= percent * (n[x] + n[y] - both))
-            i, j = np.nonzero(linked)
-            i, j = one[i], two[j]
-            _, k = np.unique(np.stack([np.minimum(label[i], label[j]), np.maximum(label[i], label[j])], 1), axis=0, return_index=True)
-            return pa.table({"a": pa.array(doc[i[k]]), "b": pa.array(doc[j[k]])})
-
-        cut = requested(texts, asked).select("doc_id", "text", "asked").mapInArrow(excerpts, "cluster long, p int, q int, first boolean, second boolean, label long, n int, pivot long, d double, doc long, raw binary")
-        return written(cut.groupBy("cluster", "p", "q").applyInArrow(compare_blocks, "a long, b long"), "crossing")
-
     near = F.col("both") * 100 >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))
     folded = sets.join(same, ["n", "one", "two"]).where("doc_id > head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
     head_of = written(folded, "heads")
@@ -277,20 +337,25 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, small: int = 16, blo
     regions = among(regions, "doc", written(within.select("doc").distinct(), "able"))
     if regions.limit(1).count():
         labels = components(links.union(head_of))
-        distance = first.select(F.col("a").alias("x"), F.col("b").alias("y"), (1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("d"))
         headed = regions
         for c in ("doc", "pivot"):
             headed = headed.join(head_of.select(F.col("a").alias(c), F.col("b").alias(f"{c}_head")), c, "left").withColumn(f"{c}_head", F.coalesce(f"{c}_head", c))
-        placed = headed.withColumns({"x": F.greatest("doc_head", "pivot_head"), "y": F.least("doc_head", "pivot_head")}).join(distance, ["x", "y"], "left").withColumn("d", F.when(F.col("doc_head") == F.col("pivot_head"), 0.0).otherwise(F.col("d")))
-        both_labels = placed.join(labels.withColumnRenamed("node", "doc_head"), "doc_head", "left").withColumn("label", F.coalesce("component", "doc_head")).drop("component")
+        both_labels = headed.join(labels.withColumnRenamed("node", "doc_head"), "doc_head", "left").withColumn("label", F.coalesce("component", "doc_head")).drop("component")
         both_labels = both_labels.join(labels.withColumnRenamed("node", "pivot_head"), "pivot_head", "left").withColumn("cluster", F.coalesce("component", "pivot_head"))
         open_keys = both_labels.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("key")
         opened = both_labels.join(open_keys, "key")
         # The same again, counting only what is still open.
         reach = opened.groupBy("doc", "doc_head", "n").agg(F.count_distinct("key").alias("k")).join(partner, "doc", "left").groupBy("doc_head", "n").agg(F.max(F.col("k") + F.coalesce("most", F.lit(0))).alias("k"))
         able = reach.where(F.col("k") >= needed).select("doc_head")
-        member = opened.join(able, "doc_head", "left_semi").groupBy("cluster", F.col("doc_head").alias("doc"), "label", "n").agg(F.min_by(F.struct(F.col("pivot_head").alias("pivot"), "d"), F.when(F.col("d").isNotNull(), F.col("pivot_head"))).alias("seen"))
-        links = links.union(crossing(written(member, "open-regions")))
+        member = written(opened.join(able, "doc_head", "left_semi").select("cluster", F.col("doc_head").alias("doc"), "label", "n").distinct(), "open-clusters")
+
+        def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in (whole.slice(k, 500) for whole in batches for k in range(0, len(whole), 500)):
+                found = sets_of([t.as_py().encode() for t in batch.column(1)], size)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in found], pa.binary())], ["doc", "raw"])
+
+        space = written(requested(texts, member.select(F.col("doc").alias("doc_id")).distinct()).select("doc_id", "text").mapInArrow(whole_sets, "doc long, raw binary"), "open-sets")
+        links = links.union(voronoi(member, space, percent, block, weight))
     labels = components(links.union(head_of))
     return sets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
