@@ -152,10 +152,10 @@ def test_embeddings(spark):
     rows = [(k, v.tolist(), k % 2) for k, v in enumerate(base)]
     rows += [(100 + k, (base[k] + rng.normal(size=16) * 0.15).tolist(), k % 2) for k in range(30)]
     rows += [(200 + k, base[0].tolist(), 0) for k in range(25)]
-    rows += [(300, None, 0), (301, [0.0] * 16, 0), (302, [float("nan")] * 16, 0), (303, [None] + [1.0] * 15, 0), (304, base[1].tolist(), None), (305, [], 0), (306, [1.0], 0), (0, base[0].tolist(), 0)]
+    rows += [(300, None, 0), (301, [0.0] * 16, 0), (302, [float("nan")] * 16, 0), (303, [None] + [1.0] * 15, 0), (304, base[1].tolist(), None), (305, [], 0), (306, [1.0], 0), (307, [2.0], 0), (308, [-3.0], 0), (0, base[0].tolist(), 0)]
     frame = spark.createDataFrame([(i, v, lab, "x") for i, v, lab in rows], "vec_id long, embedding array<double>, label int, cell string")
-    good = {i: (np.array(v) / np.linalg.norm(v), lab) for i, v, lab in rows if v and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v) and lab is not None}
-    links = {i: {j for j in good if j != i and good[i][1] == good[j][1] and good[i][0] @ good[j][0] >= 0.93} for i in good}
+    good = {i: (np.array(v) / np.linalg.norm(v), lab) for i, v, lab in rows if v and None not in v and np.isfinite(v).all() and any(v) and lab is not None}
+    links = {i: {j for j in good if j != i and good[i][1] == good[j][1] and len(good[i][0]) == len(good[j][0]) and good[i][0] @ good[j][0] >= 0.93} for i in good}
 
     def least(i):
         seen, todo = {i}, [i]
@@ -165,8 +165,20 @@ def test_embeddings(spark):
             todo += new
         return min(seen)
 
-    got = embedding_dedup.near_duplicates(frame, cell_rows=10, block_rows=6).collect()
+    got = embedding_dedup.near_duplicates(frame, cell_rows=4, block_rows=6).collect()
     assert len(got) == len(rows)
     for r in got:
         assert (r.n_links, r.component_id, r.kept) == (len(links.get(r.vec_id, ())), least(r.vec_id), least(r.vec_id) == r.vec_id), r
     assert embedding_dedup.near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_cells_divide_clustered_vectors_and_two_are_made_of_others():
+    rng = np.random.default_rng(8)
+    centres = np.linalg.qr(rng.normal(size=(32, 32)))[0][:8]
+    x = np.repeat(centres, 50, 0) + rng.normal(size=(400, 32)) * 0.02
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    reach = float(np.sqrt(0.14))
+    c = embedding_dedup.best_cells(x[rng.permutation(400)], 400, 16, reach)
+    assert len(c) >= 8 and embedding_dedup.copied(x, c, reach)[1].sum() < 1.5 * len(x)
+    spread = rng.normal(size=(200, 32))
+    assert len(embedding_dedup.best_cells(spread / np.linalg.norm(spread, axis=1, keepdims=True), 200, 64, reach)) == 2
