@@ -14,6 +14,7 @@ a null doc_id is packed like any other. No rows give no rows. Other columns aren
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,15 +30,15 @@ from rasterlake.llm.common import id_text
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-@lru_cache(maxsize=2)
-def byte_bpe(path: str):
-    """The byte-level BPE of a rank file; strings of special tokens in a text are ordinary text."""
+@lru_cache(maxsize=4)
+def byte_bpe(path: str, special: tuple[tuple[str, int], ...] = ()):
+    """The byte-level BPE of a rank file; strings of ``special`` tokens in a text become their ids, other text is ordinary."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict(special))
 
 
 def default_vocabulary() -> str:
@@ -47,15 +48,23 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def added_tokens(path: str | None = None) -> tuple[tuple[str, int], ...]:
+    """The added tokens of a tokenizer file (byte_bpe_50k.json): `tokenizers` splits a text at them before anything else."""
+    import public_tokenizers
+
+    with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return tuple((t["content"], int(t["id"])) for t in json.load(f)["added_tokens"])
+
+
 def token_ids(encoding, text: str) -> np.ndarray:
-    return np.asarray(encoding.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
+    return np.asarray(encoding.encode_to_numpy(text, allowed_special="all", disallowed_special=()), dtype="<u4")
 
 
-def pieces(docs: DataFrame, length: int, closing_id: int, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, length: int, closing_id: int, vocabulary: str, special: tuple[tuple[str, int], ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece; no shuffle."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = byte_bpe(vocabulary)
+        encoding = byte_bpe(vocabulary, special)
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -130,12 +139,12 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return sequence, offset
 
 
-def pack(docs: DataFrame, length: int = 2048, closing_id: int = 0, vocabulary: str | None = None, group_rows: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, length: int = 2048, closing_id: int = 0, vocabulary: str | None = None, special: tuple[tuple[str, int], ...] | None = None, group_rows: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    ``group_rows``: about how many documents one packing group has; groups grow in number with the input.
+    Strings of ``special`` tokens (those of the tokenizer file) in a text get those tokens' ids. ``group_rows``: about how many documents one packing group has; groups grow in number with the input.
     """
-    rows = pieces(docs, length, closing_id, vocabulary or default_vocabulary(), id_col, text_col)
+    rows = pieces(docs, length, closing_id, vocabulary or default_vocabulary(), added_tokens() if special is None else special, id_col, text_col)
     groups = max(1, docs.count() // group_rows)
     dealt = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "ids_crc32"), F.lit(groups)))
 

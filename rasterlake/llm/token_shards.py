@@ -11,7 +11,8 @@ The global slot is the shard's base (records in the shards before it) plus the p
 slots are dense and a reader resumes at slot s by seeking to (s - base) * stride.
 
 Record: doc_id int64, piece uint32, n_ids uint32, then ``length`` uint16 or uint32 ids, little-endian, zeros behind the
-last. A null doc_id takes the place after the largest; a null or empty text is one sequence of only the closing id. Repeated rows are written once
+last. Strings of special tokens in a text are ordinary text here, so that a text can't end its own sequence in training.
+A null doc_id takes the place after the largest; a null or empty text is one sequence of only the closing id. Repeated rows are written once
 each and tie by their ids' checksum. No rows give no shards. Other columns aren't read.
 """
 
