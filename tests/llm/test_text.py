@@ -80,17 +80,75 @@ def test_base_spans_equal_the_plain_patterns():
     assert pii_crf.base_spans("a" * 200_000 + "@" * 1000) == []
 
 
+def planted(n=240):
+    """Documents with personal data, some of it repeated in a form that no base pattern takes: (id, text, added spans)."""
+    rnd, out = random.Random(5), []
+    prose = lambda: " ".join(rnd.choice(["the", "of", "and", "river", "stone"]) for _ in range(rnd.randint(2, 9)))
+    for k in range(n):
+        area, line = rnd.randint(200, 999), rnd.randint(1000, 9999)
+        phone = f"+1 ({area}) 555-{line}"
+        name = f"me.x{rnd.randint(100, 999)}"
+        card = "".join(rnd.choice("123456789") for _ in range(15))
+        card = next(card + d for d in "0123456789" if pii_crf.luhn(card + d))
+        secret = "".join(rnd.choice("0123456789abcdef") for _ in range(40))
+        kind = k % 6
+        first = [phone, f"{name}@site.org", card, f'token = "{secret}"', phone, f"order {rnd.randint(10**8, 10**9)}"][kind]
+        again = [phone, f"{name}@site.org", card, f'token = "{secret}"', f"+{area}555{line}", f"part {rnd.randint(10**7, 10**8)}"][kind] if k % 12 < 6 else [f"{area}-555-{line}", f"{name} (at) site (dot) org", f"xxxx xxxx xxxx {card[12:]}", secret, f"{area} 555 {line}", "none"][kind]
+        text = f"{prose()} {first} {prose()} {again} {prose()}"
+        want = {(("phone", "email", "card", "secret", "phone", "")[kind], text.rindex(again), text.rindex(again) + len(again))} if k % 12 >= 6 and kind < 5 else set()
+        out.append((k, text, want))
+    return out
+
+
+def test_repeats_that_no_pattern_takes_are_added(spark):
+    texts = planted()
+    got = {r.doc_id: r for r in pii_crf.find(spark.createDataFrame([(k, t) for k, t, _ in texts], "doc_id long, text string")).collect()}
+    caught = wanted = 0
+    for k, text, want in texts:
+        spans = {(s.split(":")[0], *map(int, s.split(":")[1:])) for s in got[k].spans.split(",") if s}
+        base = {(pii_crf.KINDS[c], a, b) for c, a, b in plain(text)}
+        assert base <= spans
+        added = {s for s in spans - base if not text[: s[1]].endswith('token = "')}
+        assert added <= want, text
+        caught, wanted = caught + len(added & want), wanted + len(want)
+    assert wanted == 100 and caught >= 95
+
+
+def test_messages_agree_with_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(9)
+    for case in range(12):
+        n = 3 + case % 4
+        keys = [f"{k}" for k in range(n)]
+        if case % 2:
+            keys[-1] = keys[0]  # a loop
+        found = [pii_crf.Mention(1 if k == 1 and case % 3 == 0 else -1, 10 * k, 10 * k + 5, keys[k], "", f"s{k % 3}", k % 2) for k in range(n)]
+        p = pii_crf.Potentials({f"s{k}": rng.normal(size=6) for k in range(3)}, rng.normal(size=(6, 6)), 0.3 * rng.normal(size=(6, 6)), 1.0, 0.5, np.zeros(6))
+        exact = np.zeros((n, 6))
+        for labels in itertools.product(range(6), repeat=n):
+            if any(m.kind >= 0 and labels[k] != m.kind + 1 for k, m in enumerate(found)):
+                continue
+            score = sum(p.shape[m.shape][y] + p.cue[m.cue][y] for m, y in zip(found, labels, strict=True) if m.kind < 0)
+            score += sum(p.chain[a, b] for a, b in itertools.pairwise(labels)) + sum((p.equal if e else p.alike) * (labels[i] == labels[j]) for i, j, e in pii_crf.skips(found))
+            for k, y in enumerate(labels):
+                exact[k, y] += np.exp(score)
+        exact /= exact.sum(1, keepdims=True)
+        assert np.abs(pii_crf.label_mentions(found, p, 60) - exact).max() < (0.05 if case % 2 else 1e-6)
+
+
 def test_personal_data(spark, empty):
     card = "4111 1111 1111 1111"
     texts = [(1, f"mail me.x@site.org or call +1 706 555 3138, card {card}"), (2, None), (3, ""), (4, "1234567812345678 fails, 12.300.1.1 too"), (5, "+1 (706) 555-3138 and later 1-706-555-3138 once more"), (6, "x" * 50000)]
     docs = spark.createDataFrame(texts * 2, "doc_id long, text string").withColumnRenamed("text", "t").selectExpr("doc_id", "t AS text", "'k' AS kind")
-    got = {r.doc_id: r for r in pii_crf.find(docs).collect()}
+    p = pii_crf.train(spark.createDataFrame([(k, t) for k, t, _ in planted()], "doc_id long, text string"))
+    got = {r.doc_id: r for r in pii_crf.find(docs, p).collect()}
     assert (got[1].n_email, got[1].n_ip, got[1].n_card, got[1].n_phone) == (1, 0, 1, 1)
     assert got[4].spans == "" and got[2].spans == got[3].spans == ""
     assert got[5].spans == "phone:0:17,phone:28:42" and got[5].n_added == 1 and got[5].n_phone == 1
-    clean = {r.doc_id: r.text for r in pii_crf.redacted(docs).collect()}
+    clean = {r.doc_id: r.text for r in pii_crf.redacted(docs, p).collect()}
     assert clean[1] == "mail [EMAIL] or call [PHONE], card [CARD]" and clean[2] is None and clean[4] == texts[3][1]
-    assert pii_crf.find(empty).count() == 0
+    assert pii_crf.find(empty).count() == 0 and pii_crf.redacted(empty).count() == 0
 
 
 def test_packing(docs, empty):
@@ -112,6 +170,8 @@ def test_packing(docs, empty):
     total = sum(r.length for r in got)
     assert total == sum(len(encoding.encode_ordinary(t or "")) + 1 for _, t in rows()) and len(spans) <= -(-total // 256) + 2
     assert packing.pack(empty).count() == 0
+    special = packing.pack(docs.sparkSession.createDataFrame([(1, "a<|endoftext|>b")], "doc_id long, text string")).collect()
+    assert [(r.length, r.ids_crc32) for r in special] == [(4, zlib.crc32(np.array([64, 50256, 65, 0], "<u4").tobytes()))]
 
 
 def test_ids_equal_the_tokenizer_file():
@@ -119,9 +179,9 @@ def test_ids_equal_the_tokenizer_file():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    encoding = packing.byte_bpe(packing.default_vocabulary())
-    for text in ["", "a  b\n\n c", "l'été 漢字 \U0001f600", "<|endoftext|>x", *[x for _, x in rows() if x]]:
+    encoding, rnd = packing.byte_bpe(packing.default_vocabulary(), packing.added_tokens()), random.Random(4)
+    mixed = ["".join(rnd.choice(["<|endoftext|>", "<|", "|>", "a", " b", "\n", "é", "endoftext", "1"]) for _ in range(rnd.randint(0, 12))) for _ in range(10_000)]
+    for text in ["", "a  b\n\n c", "l'été 漢字 \U0001f600", "<|endoftext|>x", *[x for _, x in rows() if x], *mixed]:
         assert t.encode(text, add_special_tokens=False).ids == packing.token_ids(encoding, text).tolist()
 
 
