@@ -75,4 +75,4 @@ SELECT w.doc_id, coalesce(v.n, 0)::BIGINT AS n_shingles, coalesce(c.m, w.doc_id)
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can say what the method says; tests hold the others against brute force."""
-    return {"op4_embedding_dedup": OP4_SQL, "op5_jaccard_join": OP5_SQL}
+    return {"op4_embedding_dedup": OP4_SQL, "op5_jaccard_join": OP5_SQL, "op6_quality_rules": quality_rules.oracle()}
