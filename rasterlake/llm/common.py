@@ -72,22 +72,33 @@ def among(rows: DataFrame, column: str, ids: DataFrame, how: str = "left_semi")
     return decided if how == "left_semi" else flagged(rows, column, ids, "left_anti").union(decided)
 
 
+def in_rows(requests: DataFrame, most: int = 256) -> DataFrame:
+    """(doc_id, asked): all requests of a document in as few rows as ``most`` requests a row allow, written; the other columns of ``requests`` are the fields of one."""
+    fields = [c for c in requests.columns if c != "doc_id"]
+    requests = written(requests, "requests")
+    parts = requests.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / most).alias("parts"))
+    dealt = requests.join(parts, "doc_id").groupBy("doc_id", F.pmod(F.xxhash64(*fields), F.col("parts")).alias("part")).agg(F.collect_list(F.struct(*fields)).alias("asked"))
+    return written(dealt.drop("part"), "asked")
+
+
 def requested(texts: DataFrame, asked: DataFrame) -> DataFrame:
     """``texts`` with what is asked of them (a written table, as it's read twice); most texts that nothing is asked of don't reach the shuffle of the join."""
     return flagged(texts, "doc_id", asked, "left_semi").join(asked.hint("merge"), "doc_id")
 
 
-def batched(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list, list[bytes]]]:
-    """(ids, texts) of at least ``limit`` bytes at a time."""
+def batched(batches: Iterator[pa.RecordBatch], limit: int, ids_at: int = 0, texts_at: int = 1) -> Iterator[tuple[list, list[bytes]]]:
+    """(ids, texts) of at least ``limit`` bytes at a time, from those columns."""
     ids, held, size = [], [], 0
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids.append(doc)
-            held.append(text.as_py().encode())
-            size += len(held[-1])
-            if size >= limit:
-                yield ids, held
-                ids, held, size = [], [], 0
+        for start in range(0, len(batch), 512):  # rows become Python objects some at a time
+            part = batch.slice(start, 512)
+            for doc, text in zip(part.column(ids_at).to_pylist(), part.column(texts_at), strict=True):
+                ids.append(doc)
+                held.append(text.as_py().encode())
+                size += len(held[-1])
+                if size >= limit:
+                    yield ids, held
+                    ids, held, size = [], [], 0
     if ids:
         yield ids, held
 

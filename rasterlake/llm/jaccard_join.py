@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import among, batched, components, id_text, requested, written
+from rasterlake.llm.common import among, batched, components, id_text, in_rows, requested, written
 from rasterlake.llm.grams import shingles, words
 from rasterlake.llm.suffix_dedup import ODD, mixed
 
@@ -294,17 +294,25 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, small: int = 16, blo
         many = chunked.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / 256).alias("chunks"))
         dealt = chunked.join(many, "b").select("a", "b", F.pmod("h", F.col("chunks")).alias("chunk"))
         asked = dealt.select(F.col("a").alias("doc_id"), "b", "chunk", F.lit(0).alias("side")).union(dealt.select("b", "b", "chunk", F.lit(1)).distinct())
-        asked = asked.groupBy("doc_id", F.pmod(F.xxhash64("b", "chunk"), F.lit(64)).alias("part")).agg(F.collect_list(F.struct("b", "chunk", "side")).alias("asked"))
-
         def excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in (whole.slice(k, 500) for whole in batches for k in range(0, len(whole), 500)):
+            for whole, held in batched(whole_rows(batches), task_bytes):
                 rows = []
-                found = sets_of([t.as_py().encode() for t in batch.column(1)], size)
-                for doc, s, asked in zip(batch.column(0).to_pylist(), found, batch.column(2).to_pylist(), strict=True):
+                for (doc, asked), s in ((x.values(), s) for x, s in zip(whole, sets_of(held, size), strict=True)):
                     raw = s.tobytes()
                     rows += [(r["b"], r["chunk"], r["side"], doc, raw) for r in asked]
-                cols = list(zip(*rows, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["b", "chunk", "side", "doc", "raw"])
+                    if len(rows) >= 500:
+                        yield excerpt_batch(rows)
+                        rows = []
+                if rows:
+                    yield excerpt_batch(rows)
+
+        def whole_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in (batch.slice(k, 512) for k in range(0, len(batch), 512)):
+                    yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([part.column(0), part.column(2)], ["doc", "asked"]), part.column(1)], ["id", "text"])
+
+        def excerpt_batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["b", "chunk", "side", "doc", "raw"])
 
         def check(part: pa.Table) -> pa.Table:
             side, doc, raws = part["side"].to_pylist(), part["doc"].to_pylist(), part["raw"].to_pylist()
@@ -313,7 +321,7 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, small: int = 16, blo
             cols = list(zip(*rows, strict=True)) or [()] * 5
             return pa.table({c: pa.array(v, t) for c, v, t in zip(("a", "b", "both", "n_a", "n_b"), cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)})
 
-        cut = requested(texts, written(asked, "asked")).select("doc_id", "text", "asked").mapInArrow(excerpts, "b long, chunk long, side int, doc long, raw binary")
+        cut = requested(texts, in_rows(asked)).select("doc_id", "text", "asked").mapInArrow(excerpts, "b long, chunk long, side int, doc long, raw binary")
         return written(cut.groupBy("b", "chunk").applyInArrow(check, "a long, b long, both int, n_a int, n_b int").distinct(), "verified")
 
     near = F.col("both") * 100 >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))
