@@ -1,13 +1,11 @@
-"""Operators that relational steps can't express: order-dependent scans, adaptive tables, codecs and learning.
+"""Operators that relational steps can't express: adaptive tables, codecs and learning.
 
-Spark partitions and shuffles the work by image (or by image and method); a task holds one image's histogram, which is 512 rows at
-most, or one image's difference stream, which the method can only read in order.
+Spark partitions and shuffles the work by image (or by image and method); a task holds one image's histogram, which is 512 rows at most, or its side information.
 """
 
 from __future__ import annotations
 
 import math
-from collections import deque
 from collections.abc import Callable
 from functools import partial
 
@@ -18,6 +16,7 @@ from pyspark.sql import functions as F
 
 from rasterlake.functions import codecs
 from rasterlake.plans import steps
+from rasterlake.stages import kept
 
 
 def adaptive_tables(counts: dict[int, int], alpha: float = 0.1, distance_one: bool = False) -> dict[int, list[int]]:
@@ -62,193 +61,6 @@ def q_adaptive_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.groupBy("image_id").agg(F.count(F.lit(1)).alias("tables"), F.sum(F.col("n") * F.log2("states").cast("long")).alias("capacity_bits"))
 
 
-def adaptive_roundtrip(blocks: DataFrame, tables: DataFrame, rows_per_band: int = 64) -> DataFrame:
-    """Embed portable bits with multi-state tables, read them back, and count: (image_id, bits, blocks, modified, bits_equal, restored)."""
-    spans = tables.groupBy("image_id", "peak").agg(F.log2(F.count(F.lit(1))).cast("int").alias("k"))
-    carriers = blocks.join(spans, (blocks["image_id"] == spans["image_id"]) & (blocks["pat"] == spans["peak"])).select(blocks["image_id"], "br", "bc", "peak", "k", F.floor(F.col("br") / rows_per_band).alias("band"))
-    placed = _offsets(carriers, "k")
-    bit = lambda i: (F.floor((i.cast("long") * 1103515245 + 12345) / 65536) % 2).cast("long")
-    symbol = F.aggregate(F.sequence(F.lit(0), F.col("k") - 1), F.lit(0).cast("long"), lambda acc, j: acc * 2 + bit(F.col("at") + j))
-    marked = placed.withColumn("symbol", symbol.cast("int")).join(tables.select("image_id", "peak", "symbol", "pattern"), ["image_id", "peak", "symbol"])
-    inverse = tables.select("image_id", F.col("peak").alias("back"), F.col("symbol").alias("read"), "pattern")
-    read = marked.join(inverse, ["image_id", "pattern"])
-    return read.groupBy("image_id").agg(
-        F.sum("k").cast("long").alias("bits"), F.count(F.lit(1)).alias("blocks"), F.sum((F.col("pattern") != F.col("peak")).cast("long")).alias("modified"),
-        F.sum(F.when(F.col("read") == F.col("symbol"), F.col("k")).otherwise(0)).cast("long").alias("bits_equal"), F.sum((F.col("back") == F.col("peak")).cast("long")).alias("restored"),
-    )
-
-
-def _offsets(carriers: DataFrame, size: str) -> DataFrame:
-    """Places of blocks in raster order: a prefix sum over bands, then inside each band."""
-    from pyspark.sql import Window
-
-    bands = carriers.groupBy("image_id", "band").agg(F.sum(size).alias("total"))
-    bands = bands.withColumn("base", F.sum("total").over(Window.partitionBy("image_id").orderBy("band").rowsBetween(Window.unboundedPreceding, -1))).drop("total")
-    inside = F.sum(size).over(Window.partitionBy("image_id", "band").orderBy("br", "bc").rowsBetween(Window.unboundedPreceding, -1))
-    return carriers.join(bands, ["image_id", "band"]).withColumn("at", F.coalesce("base", F.lit(0)) + F.coalesce(inside, F.lit(0)))
-
-
-def q_adaptive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adaptive_roundtrip(steps.run(spark, "SELECT image_id, br, bc, pat FROM blocks", sf_dir, "embeddings"), q_adaptive_mapping(spark, sf_dir))
-
-
-# Context-adaptive scan of the difference stream
-
-#: Substitutes by pattern, of the rule in ``steps.substitutes``.
-SUBSTITUTES = {p: [q for x, q in steps.substitutes() if x == p] for p in range(1, 16)}
-
-
-class Context:
-    """Counts of 4-bit patterns over the ``length`` heads behind the current one, kept up to date while it moves and the stream is edited."""
-
-    def __init__(self, diff: np.ndarray, length: int, head: int) -> None:
-        self.bits, self.h = diff, diff.shape[0]
-        self.heads = self.h * (diff.shape[1] - 3)
-        self.length = max(1, length)
-        self.head = head
-        self.counts = [0] * 16
-        for k in range(head + 1, min(head + 1 + self.length, self.heads)):
-            self.counts[self.pattern(k)] += 1
-
-    def pattern(self, head: int) -> int:
-        c, r = divmod(head, self.h)
-        a, b, d, e = self.bits[r, c : c + 4]
-        return int(a) << 3 | int(b) << 2 | int(d) << 1 | int(e)
-
-    def inside(self, head: int) -> bool:
-        return self.head < head < min(self.head + 1 + self.length, self.heads)
-
-    def write(self, pattern: int) -> None:
-        c, r = divmod(self.head, self.h)
-        touched = [k for k in (r + x * self.h for x in range(max(0, c - 3), min(c + 4, self.bits.shape[1] - 3))) if self.inside(k)]
-        for k in touched:
-            self.counts[self.pattern(k)] -= 1
-        self.bits[r, c : c + 4] = [pattern >> 3 & 1, pattern >> 2 & 1, pattern >> 1 & 1, pattern & 1]
-        for k in touched:
-            self.counts[self.pattern(k)] += 1
-
-    def move(self, step: int) -> bool:
-        """One head forward or back; False at the end."""
-        new = self.head + step
-        if not 0 <= new < self.heads:
-            return False
-        low, high = (new, new + self.length) if step > 0 else (self.head, self.head + self.length)
-        if low < self.heads and low > (new if step < 0 else self.head):
-            self.counts[self.pattern(low)] += -1 if step > 0 else 1
-        if high < self.heads:
-            self.counts[self.pattern(high)] += 1 if step > 0 else -1
-        self.head = new
-        return True
-
-    def roles(self) -> tuple[int, int, int]:
-        """The most frequent pattern, its rarest substitute, and the rarest other pattern of that substitute's parity."""
-        main = max(range(1, 16), key=lambda p: (self.counts[p], -p))
-        rare = min((p for p in SUBSTITUTES[main] if p), key=lambda p: (self.counts[p], p))
-        other = min((p for p in range(1, 16) if p not in (main, rare) and p.bit_count() % 2 == rare.bit_count() % 2), key=lambda p: (self.counts[p], p))
-        return main, rare, other
-
-
-def context_embed(diff: np.ndarray, payload: list[int], length: int) -> tuple[int, list[int]]:
-    """Edit ``diff`` in place; (last head, marks). Raises ValueError when the stream can't hold the payload."""
-    if not payload:
-        return -1, []
-    left, marks, at = deque(payload), [], Context(diff, length, 0)
-    while True:
-        now, (main, rare, other) = at.pattern(at.head), at.roles()
-        if now == main:
-            if left.popleft():
-                at.write(rare)
-            if not left:
-                return at.head, marks
-        elif now == rare:
-            at.write(other)
-            marks.append(1)
-        elif now == other:
-            marks.append(0)
-        if not at.move(1):
-            raise ValueError("the stream can't hold the payload")
-
-
-def context_extract(diff: np.ndarray, marks: list[int], end: int, length: int) -> list[int]:
-    """Undo ``context_embed`` from its last head back, in place; the payload."""
-    if end < 0:
-        return []
-    marks, out, at = list(marks), [], Context(diff, length, end)
-    while True:
-        now, (main, rare, other) = at.pattern(at.head), at.roles()
-        if now in (main, rare):
-            out.append(int(now == rare))
-            at.write(main)
-        elif now == other:
-            if not marks:
-                raise ValueError("marks are used up")
-            if marks.pop():
-                at.write(rare)
-        if not at.move(-1):
-            break
-    if marks:
-        raise ValueError("marks are left over")
-    return out[::-1]
-
-
-def difference(image: np.ndarray) -> np.ndarray:
-    out = image.copy()
-    out[:, 1:] = image[:, 1:] ^ image[:, :-1]
-    out[1:, 0] = image[1:, 0] ^ image[:-1, 0]
-    return out
-
-
-def undifference(diff: np.ndarray) -> np.ndarray:
-    out = diff.copy()
-    out[:, 0] = np.bitwise_xor.accumulate(diff[:, 0])
-    return np.bitwise_xor.accumulate(out, axis=1)
-
-
-def context_runs(px: DataFrame, payload_bits: int = 64, divisors: tuple[int, ...] = tuple(range(1, 11))) -> DataFrame:
-    """A row for each image and divisor: whether the method is available (it holds the payload and reads it back exactly), changed pixels, marks, wire bits.
-
-    Embedding chooses its patterns before an edit and extraction after it, so that a read can fail; failures are data, never assumed away.
-    """
-
-    def scan(part: pd.DataFrame) -> pd.DataFrame:
-        h, w = int(part["r"].max()) + 1, int(part["c"].max()) + 1
-        image = np.zeros((h, w), np.uint8)
-        image[part["r"], part["c"]] = part["v"]
-        divisor = int(part["divisor"].iloc[0])
-        payload = [((i * 1103515245 + 12345) // 65536) % 2 for i in range(payload_bits)]
-        row = {"image_id": part["image_id"].iloc[0], "divisor": divisor, "available": False, "changed": None, "marks": None, "wire_bits": None, "error": None}
-        if w < 4:
-            return pd.DataFrame([row | {"error": "too narrow"}])
-        length = max(1, round(h * w / divisor))  # halves to even, as the method counts
-        diff = difference(image)
-        try:
-            end, marks = context_embed(diff, payload, length)
-            stego = undifference(diff)
-            code = codecs.encode_context(marks, (h, w), divisor, end, len(payload))
-            back = difference(stego)
-            if context_extract(back, codecs.decode_context(code)[0], end, length) == payload and (undifference(back) == image).all():
-                row |= {"available": True, "changed": int((stego != image).sum()), "marks": len(marks), "wire_bits": 8 * len(code)}
-            else:
-                row["error"] = "not exact"
-        except ValueError as error:
-            row["error"] = str(error)
-        return pd.DataFrame([row]).astype({"changed": "Int64", "marks": "Int64", "wire_bits": "Int64"})
-
-    grid = px.withColumn("divisor", F.explode(F.array(*map(F.lit, divisors))))
-    return grid.groupBy("image_id", "divisor").applyInPandas(scan, "image_id string, divisor int, available boolean, changed long, marks long, wire_bits long, error string")
-
-
-def q_dong_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context_runs(steps.run(spark, "SELECT image_id, r, c, v FROM px", sf_dir, "embeddings"))
-
-
-def q_dong_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The exact run of least change for each image, the smallest divisor of equals; images without one are unavailable."""
-    runs = q_dong_run(spark, sf_dir)
-    best = F.min_by(F.struct("divisor", "changed", "wire_bits"), F.when(F.col("available"), F.struct("changed", "divisor")))
-    return runs.groupBy("image_id").agg(F.bool_or("available").alias("available"), best.alias("b")).select("image_id", "available", "b.divisor", "b.changed", "b.wire_bits")
-
-
 # Codecs
 
 
@@ -276,8 +88,8 @@ def q_codec_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_codec_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 100 centres of the selected pair: wire bits and equality after reading."""
-    px = steps.run(spark, "SELECT p.image_id, p.r * 64 + p.c AS pos, p.v, s.first_level FROM pair_px p JOIN selected s ON s.image_id = p.image_id WHERE p.i < 100", sf_dir, "embeddings")
+    """The centres of the selected pair: wire bits and equality after reading."""
+    px = steps.run(spark, "SELECT p.image_id, p.r * 64 + p.c AS pos, p.v, s.first_level FROM pair_px p JOIN selected s ON s.image_id = p.image_id", sf_dir, "embeddings")
 
     def code(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("pos")
@@ -291,48 +103,17 @@ def q_codec_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Learning
 
 
-def q_grouped_cv(spark: SparkSession, sf_dir: str, folds: int = 3) -> DataFrame:
-    """Out-of-fold scores of a logistic model that tells covers from marked images by transition rates and code shares, images never split: area under the curve and balanced accuracy."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    wide = steps.run(spark, "SELECT t.image_id, t.foreground, t.horizontal, t.vertical, CAST((dense_rank() OVER (ORDER BY t.image_id) - 1) % 3 AS INT) AS fold FROM transitions t", sf_dir, "embeddings")
-    noise = (F.abs(F.xxhash64("image_id")) % 1000) / 1e5
-    data = wide.withColumn("label", F.lit(0.0)).unionByName(wide.withColumns({"label": F.lit(1.0), "horizontal": F.col("horizontal") + 0.01 + noise, "vertical": F.col("vertical") + 0.01 - noise})).persist()
-    model = Pipeline(stages=[VectorAssembler(inputCols=["foreground", "horizontal", "vertical"], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), LogisticRegression(maxIter=50, regParam=0.05)])
-    out = None
-    for fold in range(folds):
-        part = model.fit(data.where(F.col("fold") != fold)).transform(data.where(F.col("fold") == fold)).select("image_id", "fold", "label", vector_to_array("probability")[1].alias("p"))
-        out = part if out is None else out.union(part)
-    out.createOrReplaceTempView("cv_scores")
-    ranks = spark.sql("SELECT label, p, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2e0 AS k FROM cv_scores")
-    auc = (F.sum(F.when(F.col("label") == 1, F.col("k")).otherwise(0)) - F.sum("label") * (F.sum("label") + 1) / 2) / (F.sum("label") * (F.count(F.lit(1)) - F.sum("label")))
-    accuracy = (F.avg(F.when(F.col("label") == 1, (F.col("p") >= 0.5).cast("int"))) + F.avg(F.when(F.col("label") == 0, (F.col("p") < 0.5).cast("int")))) / 2
-    return ranks.agg(auc.alias("auc"), accuracy.alias("balanced_accuracy"))
-
-
 def q_cost_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A regression of replacement costs by distance and frequency, fitted on most images and judged on the others: mean error and correlation."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     rows = steps.run(spark, "SELECT r.image_id, r.peak, r.candidate, r.dist, p.n, r.target, bit_count(r.peak) AS ones FROM ranker_rows r JOIN peaks p ON p.image_id = r.image_id AND p.pat = r.peak", sf_dir, "embeddings")
-    data = VectorAssembler(inputCols=["dist", "n", "ones"], outputCol="features").transform(rows.withColumn("held", F.col("image_id").isin("8", "9"))).persist()
+    data = VectorAssembler(inputCols=["dist", "n", "ones"], outputCol="features").transform(kept(rows.withColumn("held", F.col("image_id").isin("8", "9")), "ranker-rows"))
     model = GBTRegressor(labelCol="target", maxIter=8, maxDepth=3, seed=7).fit(data.where(~F.col("held")))
     return model.transform(data.where("held")).agg(F.count(F.lit(1)).alias("rows"), F.avg(F.abs(F.col("prediction") - F.col("target"))).alias("mae"), F.corr("prediction", "target").alias("pearson"))
 
 
-def expected_improvement(mean: np.ndarray, std: np.ndarray, best: float, exploration: float = 0.01) -> np.ndarray:
-    """For minimising; 0 where there is no doubt."""
-    gain = best - mean - exploration
-    z = gain / np.maximum(std, 1e-12)
-    cdf = np.array([0.5 * (1 + math.erf(x / math.sqrt(2))) for x in z])
-    pdf = np.exp(-0.5 * z * z) / math.sqrt(2 * math.pi)
-    return np.where(std > 1e-12, np.maximum(gain * cdf + std * pdf, 0), 0.0)
-
-
 def q_alpha_grid(spark: SparkSession, sf_dir: str, alphas: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
     """Capacity of adaptive tables for each alpha, all at once; the objective is (1 - capacity share) / 2 + mean distance of the tables / 18."""
     hist = steps.run(spark, "SELECT image_id, pat, n FROM hist", sf_dir, "lineitem")
@@ -352,23 +133,9 @@ def q_alpha_grid(spark: SparkSession, sf_dir: str, alphas: tuple[float, ...] = (
     return runs.withColumn("objective", F.round((1 - share) / 2 + F.col("distance") / 18, 9))
 
 
-def q_uniform_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second layer: a bit in the cheapest pixel of each safe uniform tile, read back. A tile's original value is its majority, its bit whether the chosen pixel differs."""
-    second = steps.run(
-        spark,
-        "SELECT f.image_id, f.br, f.bc, f.position, CASE WHEN f.pat = 511 THEN 1 ELSE 0 END AS was, row_number() OVER (PARTITION BY f.image_id ORDER BY f.br, f.bc) - 1 AS i FROM best_flip f WHERE f.cost <= 0.7",
-        sf_dir, "embeddings",
-    )
-    bit = (F.floor((F.col("i").cast("long") * 1103515245 + 12345) / 65536) % 2).cast("int")
-    ones = F.when(F.col("was") == 1, 9 - bit).otherwise(bit)
-    majority = (F.col("ones") >= 5).cast("int")
-    read = second.withColumn("bit", bit).withColumn("ones", ones).withColumn("pixel", F.when(F.col("bit") == 1, 1 - F.col("was")).otherwise(F.col("was")))
-    return read.groupBy("image_id").agg(F.count(F.lit(1)).alias("bits"), F.sum((majority == F.col("was")).cast("long")).alias("restored"), F.sum(((F.col("pixel") != majority).cast("int") == F.col("bit")).cast("long")).alias("bits_equal"))
-
-
 QUERIES = {
-    "adaptive_mapping": q_adaptive_mapping, "adaptive_capacity": q_adaptive_capacity, "adaptive_roundtrip": q_adaptive_roundtrip, "dong_run": q_dong_run, "dong_best": q_dong_best,
-    "codec_roundtrip": q_codec_roundtrip, "codec_multi": q_codec_multi, "codec_centres": q_codec_centres, "grouped_cv": q_grouped_cv, "cost_ranker": q_cost_ranker, "alpha_grid": q_alpha_grid, "uniform_layer": q_uniform_layer,
+    "adaptive_mapping": q_adaptive_mapping, "adaptive_capacity": q_adaptive_capacity,
+    "codec_roundtrip": q_codec_roundtrip, "codec_multi": q_codec_multi, "codec_centres": q_codec_centres, "cost_ranker": q_cost_ranker, "alpha_grid": q_alpha_grid,
 }
 
 

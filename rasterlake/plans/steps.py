@@ -26,8 +26,8 @@ FIXTURES: dict[str, dict[str, str]] = {
     },
     "embeddings": {
         "vec": "SELECT CAST(label AS STRING) AS image_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) AS r, embedding FROM embeddings WHERE label IS NOT NULL",
-        "ones": "SELECT v.image_id, v.r, k.x AS c FROM vec v CROSS JOIN RANGE(64) k WHERE AT(v.embedding, k.x) > 0",
-        "dim": "SELECT image_id, max(r) + 1 AS h, 64 AS w FROM vec GROUP BY image_id",
+        "ones": "SELECT v.image_id, v.r, CAST(x AS INT) AS c FROM vec v EACH(LEN(v.embedding), x) WHERE AT(v.embedding, x) > 0",
+        "dim": "SELECT image_id, max(r) + 1 AS h, CAST(max(LEN(embedding)) AS INT) AS w FROM vec GROUP BY image_id",
     },
     "events": {
         "ones": "SELECT DISTINCT event_type AS image_id, CAST(user_id AS INT) AS r, CAST((DAYS(ts) * 24 + hour(ts)) % 240 AS INT) AS c FROM events",
@@ -65,6 +65,9 @@ def values(rows: list[tuple], *names: str) -> str:
 #: Portable message bits: bit i of every image.
 BIT = "CAST(floor((CAST({i} AS BIGINT) * 1103515245 + 12345) / 65536) AS BIGINT) % 2"
 
+#: Weight of a pixel's neighbours that are inside the image.
+ROOM = " + ".join(f"CASE WHEN p.r + {i} BETWEEN 0 AND d.h - 1 AND p.c + {j} BETWEEN 0 AND d.w - 1 THEN {w!r} ELSE 0.0 END" for i, j, w in kernel())
+
 STEPS: dict[str, str] = {
     "bits9": values([(b,) for b in range(9)], "b"),
     "kernel": values([(i, j, w) for i, j, w in kernel()], "dr", "dc", "wt"),
@@ -99,7 +102,10 @@ STEPS: dict[str, str] = {
     "stego_blocks": """SELECT o.image_id, CAST(floor(o.r / 3) AS INT) AS br, CAST(floor(o.c / 3) AS INT) AS bc, CAST(sum(1 << (8 - (o.r % 3) * 3 - o.c % 3)) AS INT) AS pat
         FROM stego o JOIN dim d ON o.image_id = d.image_id WHERE o.r < d.h - d.h % 3 AND o.c < d.w - d.w % 3 GROUP BY o.image_id, CAST(floor(o.r / 3) AS INT), CAST(floor(o.c / 3) AS INT)""",
     "inverse": "SELECT image_id, peak AS pattern, peak, 0 AS bit FROM chosen UNION ALL SELECT image_id, zero, peak, 1 FROM chosen",
-    "read_blocks": "SELECT b.image_id, b.br, b.bc, v.peak, v.bit, CAST(floor(b.br / 64) AS INT) AS band FROM stego_blocks b JOIN inverse v ON v.image_id = b.image_id AND v.pattern = b.pat UNION ALL SELECT b.image_id, b.br, b.bc, v.peak, v.bit, CAST(floor(b.br / 64) AS INT) FROM placed b JOIN inverse v ON v.image_id = b.image_id AND v.pattern = 0 AND v.peak = b.peak LEFT JOIN stego_blocks s ON s.image_id = b.image_id AND s.br = b.br AND s.bc = b.bc WHERE s.pat IS NULL",
+    "read_blocks": """SELECT b.image_id, b.br, b.bc, v.peak, v.bit, CAST(floor(b.br / 64) AS INT) AS band FROM stego_blocks b JOIN inverse v ON v.image_id = b.image_id AND v.pattern = b.pat
+        UNION ALL SELECT g.image_id, g.br, g.bc, g.peak, g.bit, CAST(floor(g.br / 64) AS INT) FROM (SELECT q.image_id, q.br, q.peak, q.bit, CAST(bc AS INT) AS bc FROM (SELECT d.image_id, d.w, v.peak, v.bit, CAST(br AS INT) AS br
+        FROM dim d JOIN inverse v ON v.image_id = d.image_id AND v.pattern = 0 EACH(CAST(floor(d.h / 3) AS INT), br)) q EACH(CAST(floor(q.w / 3) AS INT), bc)) g
+        LEFT JOIN stego_blocks s ON s.image_id = g.image_id AND s.br = g.br AND s.bc = g.bc WHERE s.pat IS NULL""",
     "read_bands": "SELECT image_id, band, CAST(sum(n) OVER (PARTITION BY image_id ORDER BY band ROWS UNBOUNDED PRECEDING) - n AS BIGINT) AS before_n FROM (SELECT image_id, band, count(*) AS n FROM read_blocks GROUP BY image_id, band) q",
     "extracted": "SELECT c.image_id, c.br, c.bc, c.peak, c.bit, d.before_n + row_number() OVER (PARTITION BY c.image_id, c.band ORDER BY c.br, c.bc) - 1 AS i FROM read_blocks c JOIN read_bands d ON d.image_id = c.image_id AND d.band = c.band",
     # Distortion
@@ -110,8 +116,9 @@ STEPS: dict[str, str] = {
         GROUP BY o.image_id, CAST(floor(o.r / 8) AS INT), CAST(floor(o.c / 8) AS INT)) q WHERE k < 64 GROUP BY image_id""",
     # Dense pixels, for operators that look at every pixel
     "px": "SELECT g.image_id, g.r, g.c, CASE WHEN o.r IS NULL THEN 0 ELSE 1 END AS v FROM (SELECT q.image_id, q.r, CAST(c AS INT) AS c FROM (SELECT d.image_id, d.w, CAST(r AS INT) AS r FROM dim d EACH(d.h, r)) q EACH(q.w, c)) g LEFT JOIN ones o ON o.image_id = g.image_id AND o.r = g.r AND o.c = g.c",
-    "weights": "SELECT p.image_id, p.r, p.c, p.v, k.wt, CASE WHEN o.r IS NULL THEN 0 ELSE 1 END AS nv FROM px p JOIN dim d ON d.image_id = p.image_id CROSS JOIN kernel k LEFT JOIN ones o ON o.image_id = p.image_id AND o.r = p.r + k.dr AND o.c = p.c + k.dc WHERE p.r + k.dr BETWEEN 0 AND d.h - 1 AND p.c + k.dc BETWEEN 0 AND d.w - 1",
-    "flip_cost_map": "SELECT image_id, r, c, v, sum(wt * abs(nv - (1 - v))) AS cost FROM weights GROUP BY image_id, r, c, v",
+    # What the 1-pixels around a place weigh: each is scattered to its 24 neighbours and summed there (the kernel is symmetric).
+    "ink": "SELECT o.image_id, o.r + k.dr AS r, o.c + k.dc AS c, sum(k.wt) AS ink FROM ones o CROSS JOIN kernel k GROUP BY o.image_id, o.r + k.dr, o.c + k.dc",
+    "flip_cost_map": f"SELECT q.image_id, q.r, q.c, q.v, CASE WHEN q.v = 1 THEN coalesce(i.ink, 0.0) ELSE q.room - coalesce(i.ink, 0.0) END AS cost FROM (SELECT p.image_id, p.r, p.c, p.v, {ROOM} AS room FROM px p JOIN dim d ON d.image_id = p.image_id) q LEFT JOIN ink i ON i.image_id = q.image_id AND i.r = q.r AND i.c = q.c",
     # Neighbourhood levels
     "around": """SELECT image_id, r, c, v, h, w, lag(v) OVER (PARTITION BY image_id, r ORDER BY c) AS l, lead(v) OVER (PARTITION BY image_id, r ORDER BY c) AS e FROM (SELECT p.*, d.h, d.w FROM px p JOIN dim d ON d.image_id = p.image_id) q""",
     "level_px": """SELECT q.image_id, q.r, q.c, q.v, k.lvl FROM (SELECT image_id, r, c, v,
@@ -142,17 +149,22 @@ STEPS: dict[str, str] = {
         count(*) >= 3 AS available, CAST(sum(CAST(floor(l_quantity) AS BIGINT)) % 997 AS BIGINT) - 300 AS net, sum(CAST(round(l_discount * 100) AS BIGINT)) / CAST(count(*) AS DOUBLE) / 10.0 AS drd, CAST(max(CAST(floor(l_extendedprice) AS BIGINT)) % 500 AS BIGINT) AS changed
         FROM lineitem GROUP BY concat('i', CAST(l_suppkey % 40 AS STRING)), concat('m', CAST(l_linenumber % 4 AS STRING)), CAST(64 * (1 << CAST(l_partkey % 4 AS INT)) AS INT)""",
     "matched": "SELECT payload_bits, image FROM runs WHERE available GROUP BY payload_bits, image HAVING count(DISTINCT method) = 4",
-    "deltas": "SELECT a.payload_bits, b.method AS competitor, a.image, a.net - b.net AS d FROM runs a JOIN runs b ON b.payload_bits = a.payload_bits AND b.image = a.image AND b.method <> 'm1' AND a.method = 'm1' AND a.available AND b.available",
-    "delta_ranks": "SELECT q.*, CASE WHEN d = 0 THEN 0.0 ELSE k + (ties - 1) / 2.0 END AS mean_rank FROM (SELECT d.*, rank() OVER (PARTITION BY payload_bits, competitor ORDER BY abs(d)) AS k, count(*) OVER (PARTITION BY payload_bits, competitor, abs(d)) AS ties FROM deltas d WHERE d <> 0) q",
-    "wilcoxon": """SELECT payload_bits, competitor, count(*) AS n, sum(CASE WHEN d > 0 THEN mean_rank ELSE 0.0 END) AS w_plus, sum(CASE WHEN d < 0 THEN mean_rank ELSE 0.0 END) AS w_minus, sum(CAST(ties AS DOUBLE) * ties - 1) AS tie_term FROM delta_ranks GROUP BY payload_bits, competitor""",
-    "z_scores": "SELECT payload_bits, competitor, n, w_plus, w_minus, (least(w_plus, w_minus) - n * (n + 1) / 4.0) / sqrt(greatest(n * (n + 1.0) * (2 * n + 1) / 24.0 - tie_term / 48.0, 1e-12)) AS z FROM wilcoxon",
+    "deltas": """SELECT payload_bits, competitor, image, k.metric, CASE WHEN k.metric = 'net' THEN net ELSE drd END AS d FROM (SELECT a.payload_bits, b.method AS competitor, a.image, CAST(a.net - b.net AS DOUBLE) AS net, round(a.drd - b.drd, 12) AS drd
+        FROM runs a JOIN runs b ON b.payload_bits = a.payload_bits AND b.image = a.image AND b.method <> 'm1' AND a.method = 'm1' AND a.available AND b.available) q CROSS JOIN metrics k""",
+    "metrics": values([("net",), ("drd",)], "metric"),
+    "delta_ranks": "SELECT q.*, CASE WHEN d = 0 THEN 0.0 ELSE k + (ties - 1) / 2.0 END AS mean_rank FROM (SELECT d.*, rank() OVER (PARTITION BY payload_bits, competitor, metric ORDER BY abs(d)) AS k, count(*) OVER (PARTITION BY payload_bits, competitor, metric, abs(d)) AS ties FROM deltas d WHERE d <> 0) q",
+    "wilcoxon": """SELECT payload_bits, competitor, metric, count(*) AS n, sum(CASE WHEN d > 0 THEN mean_rank ELSE 0.0 END) AS w_plus, sum(CASE WHEN d < 0 THEN mean_rank ELSE 0.0 END) AS w_minus, sum(CAST(ties AS DOUBLE) * ties - 1) AS tie_term FROM delta_ranks GROUP BY payload_bits, competitor, metric""",
+    "z_scores": "SELECT payload_bits, competitor, metric, n, w_plus, w_minus, (least(w_plus, w_minus) - n * (n + 1) / 4.0) / sqrt(greatest(n * (n + 1.0) * (2 * n + 1) / 24.0 - tie_term / 48.0, 1e-12)) AS z FROM wilcoxon",
+    # Two-sided tail of the normal distribution by a polynomial (fixed values of a published approximation, good to 1e-7); a pair of methods without differences has 1.
+    "p_values": """SELECT c.payload_bits, c.competitor, c.metric, CASE WHEN z IS NULL THEN 1.0 ELSE least(1.0, 2 * exp(-z * z / 2) / 2.5066282746310002 * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))) END AS p
+        FROM (SELECT DISTINCT payload_bits, competitor, metric FROM deltas) c LEFT JOIN (SELECT z.*, 1 / (1 + 0.2316419 * abs(z)) AS t FROM z_scores z) s ON s.payload_bits = c.payload_bits AND s.competitor = c.competitor AND s.metric = c.metric""",
     "gray": "SELECT d.lang AS image_id, least(ascii(ch), 255) AS g FROM documents d CHARS(d.text, ch) WHERE ch <> ''",
     "gray_hist": "SELECT image_id, g, count(*) AS n FROM gray GROUP BY image_id, g",
     "gray_prefix": "SELECT image_id, g, n, sum(n) OVER p AS w0, sum(n) OVER (PARTITION BY image_id) - sum(n) OVER p AS w1, sum(n * g) OVER p AS s0, sum(n * g) OVER (PARTITION BY image_id) - sum(n * g) OVER p AS s1 FROM gray_hist WINDOW p AS (PARTITION BY image_id ORDER BY g ROWS UNBOUNDED PRECEDING)",
     "otsu": "SELECT image_id, g AS threshold FROM (SELECT image_id, g, row_number() OVER (PARTITION BY image_id ORDER BY CAST(w0 AS DOUBLE) * w1 * (s0 / CAST(w0 AS DOUBLE) - s1 / CAST(w1 AS DOUBLE)) * (s0 / CAST(w0 AS DOUBLE) - s1 / CAST(w1 AS DOUBLE)) DESC, g) AS o FROM gray_prefix WHERE w1 > 0) q WHERE o = 1",
     # Detector scores
     "scored": "SELECT vec_id, CASE WHEN label IN (1, 3, 5) THEN 1 ELSE 0 END AS y, CAST(round(AT(embedding, 0) * 100) AS INT) AS s FROM embeddings WHERE label IS NOT NULL",
-    "score_ranks": "SELECT y, s, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS k FROM scored",
+    "score_ranks": "SELECT s, n, pos, sum(n) OVER (ORDER BY s ROWS UNBOUNDED PRECEDING) - n + (n + 1) / 2.0 AS k FROM score_levels",
     "score_levels": "SELECT s, count(*) AS n, sum(y) AS pos FROM scored GROUP BY s",
     "codes": "SELECT image_id, r, c, v + 2 * e + 4 * s + 8 * se AS code2 FROM (SELECT a.*, lead(v) OVER col AS s, lead(e) OVER col AS se FROM around a WINDOW col AS (PARTITION BY image_id, c ORDER BY r)) q WHERE r < h - 1 AND c < w - 1",
     "codes3": """SELECT image_id, v + 2 * e + 4 * e2 + 8 * s + 16 * se + 32 * se2 + 64 * t + 128 * te + 256 * te2 AS code3 FROM (SELECT a.*, lead(v) OVER col AS s, lead(e) OVER col AS se, lead(e2) OVER col AS se2, lead(v, 2) OVER col AS t, lead(e, 2) OVER col AS te, lead(e2, 2) OVER col AS te2
@@ -203,10 +215,12 @@ def sql(final: str, fixture: str = "lineitem", dialect: str = "spark", given: tu
     if dialect == "spark":
         out = re.sub(r"\b(FROM|JOIN)\s+(" + "|".join([*TABLES, *given]) + r")\b", r"\1 {\2}", out)
         swap = {"XOR": r"(\1 ^ \2)", "AT": r"get(\1, \2)"}
+        out = out.replace("LEN(", "size(")
         out = out.replace("DAYS(ts)", "datediff(CAST(ts AS DATE), DATE '2024-01-01')")
         out = re.sub(r"RANGE\((\d+)\)", r"(SELECT CAST(id AS INT) AS x FROM range(\1))", out)
     else:
         swap = {"XOR": r"xor(\1, \2)", "AT": r"(\1)[\2 + 1]"}
+        out = out.replace("LEN(", "len(")
         out = re.sub(r"RANGE\((\d+)\)", r"(SELECT CAST(range AS INT) AS x FROM range(\1))", out)
         out = out.replace("AS STRING)", "AS VARCHAR)").replace("DAYS(ts)", "date_diff('day', DATE '2024-01-01', CAST(ts AS DATE))").replace("ascii(", "unicode(")
     out = re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1e0", out)  # else decimals
@@ -222,20 +236,26 @@ def sql(final: str, fixture: str = "lineitem", dialect: str = "spark", given: tu
     return out
 
 
-#: Steps that longer chains read again and again: each is written once and cuts the plan of those behind it.
-KEPT = ("blocks", "hist", "h1map", "chosen", "placed", "flips", "stego")
-
-
 def needed(final: str, fixture: str, given: tuple[str, ...] = ()) -> list[str]:
     """The steps of ``final`` in order."""
     return re.findall(r"^(?:WITH )?(\w+) AS \(", sql(final, fixture, "spark", given), re.M)
 
 
+def shared(final: str, fixture: str, given: tuple[str, ...] = ()) -> list[str]:
+    """The steps of ``final`` that are read more than once, in order; small constant tables don't count."""
+    steps = {**STEPS, **FIXTURES[fixture], "h1map": H1_SPARK}
+    chain = needed(final, fixture, given)
+    reads = [name for text in [final, *(steps[c] for c in chain)] for name in re.findall(r"\b(?:FROM|JOIN)\s+(\w+)", text)]
+    return [name for name in chain if reads.count(name) > 1 and "VALUES" not in steps[name]]
+
+
 def run(spark: SparkSession, final: str, sf_dir: str | None = None, fixture: str = "lineitem", **relations: DataFrame) -> DataFrame:
-    """``final`` on the tables of ``sf_dir``, or on ``relations`` (ones and dim of any raster, or any other step)."""
-    chain = needed(final, fixture, tuple(relations))
-    if "placed" in chain:
-        for name in (k for k in KEPT if k in chain and k not in relations):
+    """``final`` on the tables of ``sf_dir``, or on ``relations`` (ones and dim of any raster, or any other step).
+
+    A step that is read more than once is written once, which cuts the plan of those behind it; all else is one plan for Catalyst.
+    """
+    for name in shared(final, fixture, tuple(relations)):
+        if name in needed(final, fixture, tuple(relations)):
             relations[name] = kept(_one(spark, f"SELECT * FROM {name}", sf_dir, fixture, relations), name)
     return _one(spark, final, sf_dir, fixture, relations)
 

@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterlake.operators import custom
+from rasterlake.operators import custom, study
 from rasterlake.plans import steps
 
 def _d(expression: str, name: str | None = None) -> str:
@@ -64,6 +64,7 @@ SELECTS: dict[str, tuple[str, str]] = {
     "pair_positions": ("embeddings", f"SELECT image_id, first_level, {_n('n1')}, {_n('n2')} FROM pairs"),
     "pair_scores": ("embeddings", f"SELECT image_id, first_level, {_n('capacity')}, {_d('score')} FROM scores"),
     "pair_select": ("embeddings", f"SELECT image_id, first_level, {_n('capacity')}, {_d('score')} FROM selected"),
+    "pair_select_payload": ("embeddings", f"SELECT image_id, first_level, {_n('capacity')} FROM (SELECT s.*, row_number() OVER (PARTITION BY image_id ORDER BY round(score, 9) DESC, first_level) AS o FROM scores s WHERE score IS NOT NULL AND capacity >= 100) q WHERE o = 1"),
     "ppocp_roundtrip": ("embeddings", f"SELECT image_id, {_n('count(*)', 'bits')}, {_n('sum(CASE WHEN v <> bit THEN 1 ELSE 0 END)', 'changed')}, {_n('sum(v * (i + 1))', 'originals')} FROM (SELECT p.*, {steps.BIT.format(i='p.i')} AS bit FROM pair_px p) q WHERE i < 100 GROUP BY image_id"),
     # Differences
     "diff_matrix": ("embeddings", "SELECT image_id, r, c, d FROM diff"),
@@ -74,24 +75,25 @@ SELECTS: dict[str, tuple[str, str]] = {
     # Result facts and their analysis
     "runs_fact": ("lineitem", f"SELECT image, method, payload_bits, available, {_n('net')}, {_d('drd')}, {_n('changed')} FROM runs"),
     "method_summary": ("lineitem", f"SELECT payload_bits, method, {_n('count(*)', 'images')}, {_d('avg(CASE WHEN available THEN 1.0 ELSE 0.0 END)', 'available_fraction')}, {_d('avg(CASE WHEN available THEN net END)', 'mean_net')}, {_d('median(CASE WHEN available THEN net END)', 'median_net')}, {_d('max(CASE WHEN available THEN drd END)', 'max_drd')}, {_d('avg(CASE WHEN available THEN CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END END)', 'positive')}, bool_and(NOT available OR drd <= 1) AS all_low FROM runs GROUP BY payload_bits, method"),
-    "fraction_summary": ("lineitem", f"SELECT method, {_n('count(*)', 'n')}, {_d('avg(CASE WHEN changed > 0 THEN 10 * log10(1000.0 / changed) END)', 'mean_finite_psnr')}, {_n('sum(CASE WHEN changed = 0 THEN 1 ELSE 0 END)', 'infinite')} FROM runs WHERE available GROUP BY method"),
+    "fraction_summary": ("lineitem", f"SELECT payload_bits, method, {_n('count(*)', 'n')}, {_d('avg(CASE WHEN changed > 0 THEN 10 * log10(1000.0 / changed) END)', 'mean_finite_psnr')}, {_n('sum(CASE WHEN changed = 0 THEN 1 ELSE 0 END)', 'infinite')} FROM runs WHERE available GROUP BY payload_bits, method"),
     "capacity_summary": ("lineitem", f"SELECT {_n('count(*)', 'images')}, {_d('avg(net_bits)', 'mean_net')}, {_d('median(net_bits)', 'median_net')}, {_n('sum(CASE WHEN net_bits > 0 THEN 1 ELSE 0 END)', 'positive')} FROM capacity"),
     "fold_macro": ("lineitem", f"SELECT {_d('avg(m)', 'macro')}, {_d('sum(s) / sum(n)', 'pooled')} FROM (SELECT image, avg(drd) AS m, sum(drd) AS s, count(*) AS n FROM runs WHERE available GROUP BY image) q"),
     "resource_summary": ("lineitem", f"SELECT method, {_d('median(changed)', 'median_changed')}, {_n('max(changed)', 'max_changed')} FROM runs WHERE available GROUP BY method"),
     "drd_reduction": ("lineitem", f"SELECT a.image, a.payload_bits, {_d('CASE WHEN b.drd = 0 THEN 0.0 ELSE 100 * (b.drd - a.drd) / b.drd END', 'reduction')} FROM runs a JOIN runs b ON b.image = a.image AND b.payload_bits = a.payload_bits AND a.method = 'm1' AND b.method = 'm2' AND a.available AND b.available"),
     "matched_cohort": ("lineitem", "SELECT payload_bits, image FROM matched"),
     "matched_curves": ("lineitem", f"SELECT r.payload_bits, r.method, {_n('count(*)', 'n')}, {_d('avg(r.net)', 'mean_net')}, {_d('median(r.net)', 'median_net')}, {_d('median(r.drd)', 'median_drd')} FROM runs r JOIN matched m ON m.payload_bits = r.payload_bits AND m.image = r.image GROUP BY r.payload_bits, r.method"),
-    "paired_deltas": ("lineitem", f"SELECT payload_bits, competitor, {_n('count(*)', 'n')}, {_d('median(d)', 'median_delta')}, {_n('sum(CASE WHEN d > 0 THEN 1 ELSE 0 END)', 'wins')}, {_n('sum(CASE WHEN d = 0 THEN 1 ELSE 0 END)', 'ties')} FROM deltas GROUP BY payload_bits, competitor"),
-    "wilcoxon_stats": ("lineitem", f"SELECT payload_bits, competitor, {_n('n')}, {_d('w_plus')}, {_d('w_minus')}, {_d('tie_term')} FROM wilcoxon"),
-    "wilcoxon_z": ("lineitem", f"SELECT payload_bits, competitor, {_d('z')} FROM z_scores"),
-    "holm_adjust": ("lineitem", f"SELECT payload_bits, competitor, {_d('max(least(1.0, (m - o + 1) * p)) OVER (PARTITION BY payload_bits ORDER BY o ROWS UNBOUNDED PRECEDING)', 'adjusted')} FROM (SELECT payload_bits, competitor, 1 / (1 + abs(z)) AS p, row_number() OVER (PARTITION BY payload_bits ORDER BY 1 / (1 + abs(z)), competitor) AS o, count(*) OVER (PARTITION BY payload_bits) AS m FROM z_scores) q"),
+    "paired_deltas": ("lineitem", f"SELECT payload_bits, competitor, metric, {_n('count(*)', 'n')}, {_d('median(d)', 'median_delta')}, {_n('sum(CASE WHEN d > 0 THEN 1 ELSE 0 END)', 'wins')}, {_n('sum(CASE WHEN d = 0 THEN 1 ELSE 0 END)', 'ties')} FROM deltas GROUP BY payload_bits, competitor, metric"),
+    "wilcoxon_stats": ("lineitem", f"SELECT payload_bits, competitor, metric, {_n('n')}, {_d('w_plus')}, {_d('w_minus')}, {_d('tie_term')} FROM wilcoxon"),
+    "wilcoxon_z": ("lineitem", f"SELECT payload_bits, competitor, metric, {_d('z')} FROM z_scores"),
+    "wilcoxon_p": ("lineitem", f"SELECT payload_bits, competitor, metric, {_d('p')} FROM p_values"),
+    "holm_adjust": ("lineitem", f"SELECT payload_bits, competitor, metric, {_d('p')}, {_d('max(least(1.0, (m - o + 1) * p)) OVER (PARTITION BY payload_bits ORDER BY o ROWS UNBOUNDED PRECEDING)', 'adjusted')} FROM (SELECT payload_bits, competitor, metric, p, row_number() OVER (PARTITION BY payload_bits ORDER BY round(p, 12), competitor, metric) AS o, count(*) OVER (PARTITION BY payload_bits) AS m FROM p_values) q"),
     "strata": ("lineitem", f"SELECT r.payload_bits, r.method, s.suitable, {_n('sum(CASE WHEN r.available THEN 1 ELSE 0 END)', 'n')}, {_n('count(*)', 'images')}, {_d('avg(CASE WHEN r.available THEN r.net END)', 'mean_net')}, {_d('median(CASE WHEN r.available THEN r.drd END)', 'median_drd')} FROM runs r JOIN (SELECT image, avg(drd) > 0.005 AS suitable FROM runs GROUP BY image) s ON s.image = r.image GROUP BY r.payload_bits, r.method, s.suitable"),
     "tradeoff_area": ("lineitem", f"SELECT method, {_d('sum((drd - x) * (net + y) / 2.0)', 'area')} FROM (SELECT method, drd, net, lag(drd) OVER w AS x, lag(net) OVER w AS y FROM (SELECT method, payload_bits, avg(drd) AS drd, avg(net) AS net FROM runs WHERE available GROUP BY method, payload_bits) q WINDOW w AS (PARTITION BY method ORDER BY round(drd, 9), payload_bits)) z WHERE x IS NOT NULL GROUP BY method"),
     "availability": ("lineitem", f"SELECT payload_bits, method, {_d('100 * avg(CASE WHEN available THEN 1.0 ELSE 0.0 END)', 'percent')} FROM runs GROUP BY payload_bits, method"),
     "otsu_threshold": ("lineitem", f"SELECT image_id, {_n('threshold')} FROM otsu"),
-    "otsu_suitability": ("lineitem", f"SELECT g.image_id, {_d('sum(CASE WHEN (g.g >= 110) = (g.g >= o.threshold) THEN g.n ELSE 0 END) / CAST(sum(g.n) AS DOUBLE)', 'agreement')}, {_d('sum(CASE WHEN g.g >= 110 THEN g.n ELSE 0 END) / CAST(sum(g.n) AS DOUBLE)', 'foreground')} FROM gray_hist g JOIN otsu o ON o.image_id = g.image_id GROUP BY g.image_id"),
-    "train_test_split": ("lineitem", f"SELECT part, {_n('count(*)', 'n')}, {_n('sum(p_partkey)', 'checksum')} FROM (SELECT p_partkey, CASE WHEN row_number() OVER (ORDER BY ((p_partkey * 1103515245 + 12345) % 1000003), p_partkey) <= 100 THEN 'train' ELSE 'test' END AS part FROM part) q GROUP BY part"),
-    "seeded_sample": ("lineitem", "SELECT p_partkey FROM (SELECT p_partkey, row_number() OVER (ORDER BY ((p_partkey * 1103515245 + 12345) % 1000003), p_partkey) AS o FROM part) q WHERE o <= 50"),
+    "otsu_suitability": ("lineitem", f"SELECT image_id, {_d('agreement')}, {_d('foreground')}, CASE WHEN agreement >= 0.95 AND foreground BETWEEN 0.05 AND 0.95 THEN 1 ELSE 0 END AS suitable FROM (SELECT g.image_id, sum(CASE WHEN (g.g >= 128) = (g.g >= o.threshold) THEN g.n ELSE 0 END) / CAST(sum(g.n) AS DOUBLE) AS agreement, sum(CASE WHEN g.g >= 128 THEN g.n ELSE 0 END) / CAST(sum(g.n) AS DOUBLE) AS foreground FROM gray_hist g JOIN otsu o ON o.image_id = g.image_id GROUP BY g.image_id) q"),
+    "train_test_split": ("lineitem", f"SELECT part, {_n('count(*)', 'n')}, {_n('sum(p_partkey)', 'checksum')} FROM (SELECT p.p_partkey, CASE WHEN t.p_partkey IS NULL THEN 'test' ELSE 'train' END AS part FROM part p LEFT JOIN (SELECT p_partkey FROM part ORDER BY (p_partkey * 1103515245 + 12345) % 1000003, p_partkey LIMIT 100) t ON t.p_partkey = p.p_partkey) q GROUP BY part"),
+    "seeded_sample": ("lineitem", "SELECT p_partkey FROM part ORDER BY (p_partkey * 1103515245 + 12345) % 1000003, p_partkey LIMIT 50"),
     "message_bits": ("lineitem", f"SELECT x AS i, {_n(steps.BIT.format(i='x'), 'bit')} FROM RANGE(4096) k"),
     "image_union": ("lineitem", f"SELECT source, {_n('count(*)', 'n')} FROM (SELECT 'blocks' AS source, image_id FROM blocks UNION ALL SELECT 'zeros', image_id FROM zeros) q GROUP BY source"),
     "image_intersect": ("lineitem", "SELECT image FROM runs WHERE method = 'm1' AND available INTERSECT SELECT image FROM runs WHERE method = 'm2' AND available"),
@@ -108,7 +110,7 @@ SELECTS: dict[str, tuple[str, str]] = {
     "uniform_samples": ("embeddings", f"SELECT image_id, br, bc, safe FROM (SELECT q.*, row_number() OVER (PARTITION BY image_id, safe ORDER BY (br * 7919 + bc * 104729) % 10007, br, bc) AS o, sum(safe) OVER (PARTITION BY image_id) AS positives FROM (SELECT image_id, br, bc, CASE WHEN round(cost, 9) <= 0.5 THEN 1 ELSE 0 END AS safe FROM best_flip) q) z WHERE safe = 1 OR o <= 5 * greatest(positives, 1)"),
     "bit_costs": ("embeddings", f"SELECT image_id, peak, bit, {_d('cost')} FROM bit_costs"),
     "ranker_dataset": ("embeddings", f"SELECT image_id, peak, candidate, {_n('dist', 'distance')}, {_d('target')} FROM ranker_rows"),
-    "auc_rank": ("embeddings", f"SELECT {_n('sum(y)', 'positives')}, {_d('(sum(CASE WHEN y = 1 THEN k ELSE 0 END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * CAST(count(*) - sum(y) AS DOUBLE))', 'auc')} FROM score_ranks"),
+    "auc_rank": ("embeddings", f"SELECT {_n('sum(pos)', 'positives')}, {_d('(sum(pos * k) - sum(pos) * (sum(pos) + 1) / 2.0) / (sum(pos) * CAST(sum(n) - sum(pos) AS DOUBLE))', 'auc')} FROM score_ranks"),
     "group_folds": ("embeddings", f"SELECT image_id, CAST((dense_rank() OVER (ORDER BY image_id) - 1) % 5 AS INT) AS fold FROM dim"),
 }
 
@@ -118,8 +120,8 @@ def _run(select: tuple[str, str], spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: partial(_run, select) for name, select in SELECTS.items()} | custom.queries()
+    return {name: partial(_run, select) for name, select in SELECTS.items()} | custom.queries() | study.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: steps.sql(text, fixture, "other") for name, (fixture, text) in SELECTS.items()}
+    return {name: steps.sql(text, fixture, "other") for name, (fixture, text) in SELECTS.items()} | study.oracle_sql()

@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from rasterlake.operators import custom
+from rasterlake import registry
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -14,11 +14,11 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables he
 
 @pytest.mark.parametrize("name", ["adaptive_roundtrip", "uniform_layer"])
 def test_layers_come_back(spark, name):
-    rows = custom.queries()[name](spark, SF).collect()
+    rows = registry.queries()[name](spark, SF).collect()
     assert rows and all(r.bits == r.bits_equal for r in rows)
 
 
 @pytest.mark.parametrize("name", ["codec_roundtrip", "codec_multi", "codec_centres"])
 def test_wires_come_back(spark, name):
-    rows = custom.queries()[name](spark, SF).collect()
+    rows = registry.queries()[name](spark, SF).collect()
     assert rows and all(r.same for r in rows)

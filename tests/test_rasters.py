@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from rasterlake.functions import codecs
-from rasterlake.operators import custom
+from rasterlake.operators import context, custom, study
 from rasterlake.plans import steps
 
 
@@ -111,41 +111,103 @@ def test_levels(spark, images):
 
 def test_difference_and_back(spark, images):
     for r in run(spark, "SELECT image_id, r, c, d FROM diff", images):
-        assert r.d == custom.difference(images[r.image_id])[r.r, r.c]
+        assert r.d == context.difference(images[r.image_id])[r.r, r.c]
     for r in run(spark, "SELECT image_id, r, c, v FROM undone", images):
         assert r.v == images[r.image_id][r.r, r.c]
-    assert all((custom.undifference(custom.difference(m)) == m).all() for m in images.values())
+    assert all((context.undifference(context.difference(m)) == m).all() for m in images.values())
 
 
 def test_context_counts_follow_edits_and_moves():
     rng = np.random.default_rng(5)
     diff = (rng.random((9, 14)) < 0.3).astype(np.uint8)
-    at = custom.Context(diff, 17, 0)
-    for _ in range(60):
-        at.write(int(rng.integers(0, 16)))
-        at.move(1)
-        assert at.counts == custom.Context(diff, 17, at.head).counts
-    for _ in range(40):
-        at.write(int(rng.integers(0, 16)))
-        at.move(-1)
-        assert at.counts == custom.Context(diff, 17, at.head).counts
+    at = context.Stream(diff, 17, 0)
+    for step, count in ((1, 60), (-1, 40)):
+        for _ in range(count):
+            at.write(int(rng.integers(0, 16)))
+            at.move(step)
+            assert at.counts.tolist() == context.Stream(diff, 17, at.head).counts.tolist()
+            heads, counts = at.stretch(step)
+            assert all(c.tolist() == context.Stream(diff, 17, int(k)).counts.tolist() for k, c in zip(heads, counts, strict=True))
+
+
+def test_context_roles():
+    rng = np.random.default_rng(6)
+    counts = rng.integers(0, 5, (200, 16))
+    for row, main, rare, other in zip(counts.tolist(), *(x.tolist() for x in context.roles(counts)), strict=True):
+        assert main == min(range(1, 16), key=lambda p: (-row[p], p))
+        assert rare == min((q for p, q in steps.substitutes() if p == main and q), key=lambda p: (row[p], p))
+        assert other == min((p for p in range(1, 16) if p not in (main, rare) and p.bit_count() % 2 == rare.bit_count() % 2), key=lambda p: (row[p], p))
+
+
+def test_context_method_gives_message_and_raster_back():
+    rng, exact = np.random.default_rng(0), 0
+    for _ in range(120):
+        h, w = rng.integers(3, 40), rng.integers(6, 40)
+        image = (rng.random((h, w)) < 0.4 * rng.random()).astype(np.uint8)
+        bits, length = rng.integers(0, 2, rng.integers(1, 20)).tolist(), int(rng.integers(1, h * w))
+        diff = context.difference(image)
+        try:
+            end, marks = context.embed(diff, bits, length)
+            stego = context.undifference(diff)
+            back = context.difference(stego)
+            exact += context.extract(back, marks, end, length) == bits and bool((context.undifference(back) == image).all())
+        except ValueError:
+            continue
+    assert exact >= 30
 
 
 def test_context_runs_report_failures_as_data(spark, images):
-    px = steps.run(spark, "SELECT image_id, r, c, v FROM px", **given(spark, images))
-    rows = custom.context_runs(px, 16, (1, 10)).collect()
+    rows = study.context_runs(**given(spark, images), payload_bits=16, divisors=(1, 10)).collect()
     assert len(rows) == 4 and all(r.available == (r.error is None) for r in rows)
 
 
+@pytest.fixture(scope="module")
+def blots():
+    rng = np.random.default_rng(8)
+    out = {}
+    for k in range(3):
+        image = (rng.random((66, 64)) < 0.03).astype(np.uint8)
+        image[10:40, 8:50] |= (rng.random((30, 42)) < 0.25).astype(np.uint8)
+        out[f"i{k}"] = image
+    return out | {"tiny": np.zeros((5, 5), np.uint8)}
+
+
+@pytest.mark.parametrize("method", ["adaptive", "distance_one", "single_peak"])
+def test_tables_give_message_and_raster_back(spark, blots, method):
+    rasters = given(spark, blots)
+    payload = spark.createDataFrame([(k, 40) for k in blots], "image_id string, bits long")
+    _, checks, flips, message, back = study.through_tables(method, rasters["ones"], rasters["dim"], payload)
+    assert {r.image_id for r in checks.where("error IS NOT NULL").collect()} == {"tiny"} and flips.count() > 0
+    got = {(r.image_id, r.i): r.bit for r in message.collect()}
+    assert got == {(k, i): ((i * 1103515245 + 12345) // 65536) % 2 for k in blots if k != "tiny" for i in range(40)}
+    assert {tuple(r) for r in back.select("image_id", "r", "c").collect()} == {(k, int(r), int(c)) for k, m in blots.items() if k != "tiny" for r, c in zip(*np.nonzero(m), strict=True)}
+
+
+def test_runs_of_all_methods_are_rows_with_or_without_an_error(spark, blots):
+    rasters = given(spark, blots)
+    runs = study.method_runs(rasters["ones"], rasters["dim"], 32)
+    rows = runs.collect()
+    assert len(rows) == len(blots) * len(study.METHODS) and {r.method for r in rows} == set(study.METHODS)
+    assert all((r.error is None) == r.available and (not r.available or (r.message_exact and r.reversible and r.changed_pixels is not None and r.drd >= 0)) for r in rows)
+    assert not any(r.available for r in rows if r.image_id == "tiny") and sum(r.available for r in rows) >= 12
+    assert {r.method for r in study.method_summary(runs).collect()} == set(study.METHODS)
+
+
+def test_alpha_search_observes_and_names_the_best(spark, blots):
+    rasters = given(spark, {k: m for k, m in blots.items() if k != "tiny"})
+    seen = study.optimize_alpha(rasters["ones"], rasters["dim"], 16, (0.0, 1.0), 1, 21)
+    assert 2 <= len(seen) <= 3 and seen[-1][1] == min(o for _, o in seen) and all(0 <= a <= 1 for a, _ in seen)
+
+
 def test_empty_image_has_no_tables_and_zero_net(spark):
     rows = run(spark, "SELECT * FROM capacity", {"e": np.zeros((9, 9), np.uint8), "x": np.eye(9, dtype=np.uint8)})
     assert {r.image_id: r.net_bits for r in rows} == {"e": 0, "x": 0}
 
 
 def test_expected_improvement():
-    got = custom.expected_improvement((np.linspace(0, 1, 11) - 0.5) ** 2, np.full(11, 0.1), 0.1)
+    got = study.expected_improvement((np.linspace(0, 1, 11) - 0.5) ** 2, np.full(11, 0.1), 0.1)
     assert np.isfinite(got).all() and (got >= 0).all()
-    assert custom.expected_improvement(np.array([0.0]), np.array([0.0]), 1.0)[0] == 0
+    assert study.expected_improvement(np.array([0.0]), np.array([0.0]), 1.0)[0] == 0
 
 
 def test_gray_maps(spark, tmp_path):
