@@ -9,7 +9,8 @@ of the first n - ceil(0.85 n) + 1 shingles of their sets, and k of the first n -
 1. Equal sets fold into their smallest doc_id (128-bit signatures and sizes); a task folds them before the shuffle.
 2. Prefix regions of up to ``small`` documents compare all pairs of fitting sizes. Larger ones compare every document with their smallest doc_id: those within 0.15
    are one component at once. Compared pairs are verified on whole sets, in groups by the smaller document and in chunks of bounded size.
-3. Large prefix regions whose documents are still in different components are clusters of a metric space of their own, joined by ``voronoi``: pivots are drawn from
+3. Of documents in large prefix regions that are still in different components, those go on that share enough of their prefixes with another (only shingles of
+   large regions are compared, a small part of the sets). Large prefix regions whose documents are still in different components are clusters of a metric space of their own, joined by ``voronoi``: pivots are drawn from
    each region, every document goes to the region of its nearest pivot and, as two linked documents' distances to any pivot differ by at most 0.15, is
    copied to those regions whose pivot is at most 0.3 farther away: no link is lost. Documents that share nothing with any pivot make a region
    of their own, with those at 0.85 or more from all. Regions over ``block`` documents or ``weight`` shingles are
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,7 +75,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return len(np.intersect1d(a, b, True))
 
 
-def shared_counts(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray, rare: int = 16, slab: int = 4096) -> np.ndarray:
+def shared_counts(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray, rare: int = 16, slab: int = 2048) -> np.ndarray:
     """How many elements each set of ``one`` shares with each of ``two``: rare elements by their pairs of sets, others as products of 0/1 matrices."""
     every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.argsort(every, kind="stable")
@@ -85,8 +87,8 @@ def shared_counts(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray, rare
     both = np.zeros(len(one) * len(two), np.float32)
     for c in range(2, rare + 1):
         at = begin[count == c]
-        for k in range(0, len(at), 1 << 14):
-            held = owner[at[k : k + (1 << 14), None] + np.arange(c)]
+        for k in range(0, len(at), 1 << 12):
+            held = owner[at[k : k + (1 << 12), None] + np.arange(c)]
             i, j = np.broadcast_to(row[held][:, :, None], (len(held), c, c)).ravel(), np.broadcast_to(column[held][:, None, :], (len(held), c, c)).ravel()
             use = (i >= 0) & (j >= 0)
             both += np.bincount(i[use] * len(two) + j[use], minlength=len(both)).astype(np.float32)
@@ -119,6 +121,43 @@ def nearest(sets: list[np.ndarray], pivots: list[np.ndarray], epsilon: float) ->
     return np.where(least < 1, distance.argmin(1), len(pivots)), inside
 
 
+def in_block_pairs(rows: DataFrame) -> DataFrame:
+    """Rows (region, doc, label, n, blocks) dealt to blocks by doc, once for each pair of blocks p <= q that has theirs."""
+    dealt = rows.withColumn("at", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("region", F.least("at", "o").alias("p"), F.greatest("at", "o").alias("q"), (F.col("at") <= F.col("o")).alias("first"), (F.col("at") >= F.col("o")).alias("second"), "doc", "label", "n")
+
+
+def fitting(part: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first block's rows, second block's rows, whether two of them may be linked by their labels and sizes)."""
+    label, n, doc = (part[c].to_numpy() for c in ("label", "n", "doc"))
+    one, two = (np.flatnonzero(part[c].to_numpy(zero_copy_only=False)) for c in ("first", "second"))
+    x, y = one[:, None], two[None, :]
+    return one, two, (label[x] != label[y]) & (doc[x] != doc[y]) & (100 * np.minimum(n[x], n[y]).astype(np.int64) >= percent * np.maximum(n[x], n[y]).astype(np.int64))
+
+
+def with_partner(members: DataFrame, keys: DataFrame, percent: int, block: int, weight: int) -> DataFrame:
+    """Documents (doc) of ``members`` (cluster, doc, label, n) that share enough prefix shingles with one of another component in their cluster.
+
+    ``keys`` (doc, keys, most) has a document's shingles in large prefix regions and the most that it shares with any other in small ones: only these few are compared here.
+    """
+
+    def able(part: pa.Table) -> pa.Table:
+        one, two, may = fitting(part, percent)
+        if not may.any():
+            return pa.table({"doc": pa.array([], pa.int64())})
+        ends = np.append(0, np.cumsum(pa.compute.list_value_length(part["keys"]).to_numpy()))
+        flat = part["keys"].combine_chunks().flatten().to_numpy()
+        n, most, doc = (part[c].to_numpy() for c in ("n", "most", "doc"))
+        both = shared_counts([flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], one, two)
+        x, y = one[:, None], two[None, :]
+        i, j = np.nonzero(may & (both + np.minimum(most[x], most[y]) >= level(np.minimum(n[x], n[y]).astype(np.int64))))
+        return pa.table({"doc": pa.array(np.unique(doc[np.append(one[i], two[j])]))})
+
+    sizes = members.join(keys, "doc").groupBy("cluster").agg(F.greatest(F.ceil(F.sum(F.size("keys")) / weight), F.ceil(F.count(F.lit(1)) / block)).cast("int").alias("blocks"))
+    dealt = in_block_pairs(members.join(sizes, "cluster").withColumnRenamed("cluster", "region")).join(keys, "doc")
+    return dealt.groupBy("region", "p", "q").applyInArrow(able, "doc long").distinct()
+
+
 def voronoi(members: DataFrame, space: DataFrame, percent: int, block: int, weight: int) -> DataFrame:
     """Links (a, b) between components, one at least for any two that have some, in each cluster of ``members`` (cluster, doc, label, n); ``space`` has the sets (doc, raw)."""
     epsilon = 1 - percent / 100
@@ -160,14 +199,12 @@ def voronoi(members: DataFrame, space: DataFrame, percent: int, block: int, weig
         now = written(parts.join(divided, "region", "left_semi").select(F.col("part").alias("region"), "doc", "label", "n").distinct(), "regions")
 
     def compare_blocks(part: pa.Table) -> pa.Table:
-        label, n, doc = (part[c].to_numpy() for c in ("label", "n", "doc"))
-        one, two = np.flatnonzero(part["first"].to_numpy(zero_copy_only=False)), np.flatnonzero(part["second"].to_numpy(zero_copy_only=False))
-        x, y = one[:, None], two[None, :]
-        may = (label[x] != label[y]) & (doc[x] != doc[y]) & (100 * np.minimum(n[x], n[y]).astype(np.int64) >= percent * np.maximum(n[x], n[y]).astype(np.int64))
+        one, two, may = fitting(part, percent)
         if not may.any():
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         both = shared_counts([np.frombuffer(r, "<u8") for r in part["raw"].to_pylist()], one, two)
-        i, j = np.nonzero(may & (100 * both >= percent * (n[x] + n[y] - both)))
+        label, n, doc = (part[c].to_numpy() for c in ("label", "n", "doc"))
+        i, j = np.nonzero(may & (100 * both >= percent * (n[one][:, None] + n[two][None, :] - both)))
         i, j = one[i], two[j]
         _, k = np.unique(np.stack([np.minimum(label[i], label[j]), np.maximum(label[i], label[j])], 1), axis=0, return_index=True)
         return pa.table({"a": pa.array(doc[i[k]]), "b": pa.array(doc[j[k]])})
@@ -175,9 +212,7 @@ def voronoi(members: DataFrame, space: DataFrame, percent: int, block: int, weig
     last = finished[0]
     for more in finished[1:]:
         last = last.unionByName(more)
-    dealt = last.withColumn("at", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("region", F.least("at", "o").alias("p"), F.greatest("at", "o").alias("q"), (F.col("at") <= F.col("o")).alias("first"), (F.col("at") >= F.col("o")).alias("second"), "doc", "label", "n")
-    return written(dealt.join(space, "doc").groupBy("region", "p", "q").applyInArrow(compare_blocks, "a long, b long").distinct(), "region-links")
+    return written(in_block_pairs(last).join(space, "doc").groupBy("region", "p", "q").applyInArrow(compare_blocks, "a long, b long").distinct(), "region-links")
 
 
 def join(docs: DataFrame, size: int = 4, percent: int = 85, small: int = 16, block: int = 1024, weight: int = 1 << 20, task_bytes: int = 2 << 20, shuffle_bytes: int = 8 << 20, shard_bytes: int = 16 << 20, hot_in_task: int = 4, most_hot: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -356,6 +391,9 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, small: int = 16, blo
         reach = opened.groupBy("doc", "doc_head", "n").agg(F.count_distinct("key").alias("k")).join(partner, "doc", "left").groupBy("doc_head", "n").agg(F.max(F.col("k") + F.coalesce("most", F.lit(0))).alias("k"))
         able = reach.where(F.col("k") >= needed).select("doc_head")
         member = written(opened.join(able, "doc_head", "left_semi").select("cluster", F.col("doc_head").alias("doc"), "label", "n").distinct(), "open-clusters")
+        keys = opened.join(partner, "doc", "left").groupBy(F.col("doc_head").alias("doc")).agg(F.collect_set("key").alias("keys"), F.max(F.coalesce("most", F.lit(0))).cast("int").alias("most"))
+        keys = written(keys.join(member.select("doc").distinct(), "doc"), "open-keys")
+        member = written(member.join(written(with_partner(member, keys, percent, block, weight), "with-partner"), "doc", "left_semi").select("cluster", "doc", "label", "n"), "open-clusters")
 
         def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in (whole.slice(k, 500) for whole in batches for k in range(0, len(whole), 500)):
