@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterlake.functions import codecs
-from rasterlake.operators import context, marking
+from rasterlake.operators import agent, context, marking
 from rasterlake.operators.custom import adaptive_mapping
 from rasterlake.plans import steps
 from rasterlake.stages import kept
@@ -436,7 +436,7 @@ def q_alpha_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     **{name: partial(q_restored, name) for name in PAYLOADS},
     "adaptive_roundtrip": q_adaptive_roundtrip, "uniform_layer": q_uniform_layer, "dong_run": q_context_runs, "dong_best": q_context_best, "method_runs": q_method_runs, "method_run_summary": q_method_run_summary,
-    "grouped_cv": q_grouped_cv, "alpha_search": q_alpha_search,
+    "grouped_cv": q_grouped_cv, "alpha_search": q_alpha_search, "agent_layer": agent.q_agent_layer,
 }
 
 

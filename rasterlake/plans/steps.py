@@ -174,6 +174,8 @@ STEPS: dict[str, str] = {
     "uniform": "SELECT g.image_id, g.br, g.bc, coalesce(b.pat, 0) AS pat FROM (SELECT q.image_id, q.br, CAST(bc AS INT) AS bc FROM (SELECT d.image_id, d.w, CAST(br AS INT) AS br FROM dim d EACH(CAST(floor(d.h / 3) AS INT), br)) q EACH(CAST(floor(q.w / 3) AS INT), bc)) g LEFT JOIN blocks b ON b.image_id = g.image_id AND b.br = g.br AND b.bc = g.bc WHERE coalesce(b.pat, 0) IN (0, 511)",
     "context": """SELECT u.image_id, u.br, u.bc, u.pat, k.x AS i, CASE WHEN o.r IS NULL THEN 0 ELSE 1 END AS v FROM uniform u JOIN dim d ON d.image_id = u.image_id CROSS JOIN RANGE(81) k
         LEFT JOIN ones o ON o.image_id = u.image_id AND o.r = least(greatest(u.br * 3 + 1 + CAST(floor(k.x / 9) AS INT) - 4, 0), d.h - 1) AND o.c = least(greatest(u.bc * 3 + 1 + k.x % 9 - 4, 0), d.w - 1)""",
+    "peak_context": """SELECT b.image_id, b.pat AS peak, k.x AS i, avg(CASE WHEN o.r IS NULL THEN 0.0 ELSE 1.0 END) AS mean FROM blocks b JOIN peaks p ON p.image_id = b.image_id AND p.pat = b.pat JOIN dim d ON d.image_id = b.image_id CROSS JOIN RANGE(81) k
+        LEFT JOIN ones o ON o.image_id = b.image_id AND o.r = least(greatest(b.br * 3 + 1 + CAST(floor(k.x / 9) AS INT) - 4, 0), d.h - 1) AND o.c = least(greatest(b.bc * 3 + 1 + k.x % 9 - 4, 0), d.w - 1) GROUP BY b.image_id, b.pat, k.x""",
     "context_summary": """SELECT image_id, br, bc, pat, avg(v) AS density, sum(CASE WHEN i % 9 < 8 AND v <> e THEN 1 ELSE 0 END) / 72.0 AS horizontal, sum(CASE WHEN i < 72 AND v <> s THEN 1 ELSE 0 END) / 72.0 AS vertical
         FROM (SELECT x.*, lead(v) OVER (PARTITION BY image_id, br, bc ORDER BY i) AS e, lead(v, 9) OVER (PARTITION BY image_id, br, bc ORDER BY i) AS s FROM context x) q GROUP BY image_id, br, bc, pat""",
     "tile_costs": "SELECT u.image_id, u.br, u.bc, u.pat, k.b AS i, f.cost FROM uniform u CROSS JOIN bits9 k JOIN flip_cost_map f ON f.image_id = u.image_id AND f.r = u.br * 3 + CAST(floor(k.b / 3) AS INT) AND f.c = u.bc * 3 + k.b % 3",

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rasterlake.operators import custom, study
 from rasterlake.plans import steps
+from rasterlake.plans.definitions import DEFINITIONS
 
 def _d(expression: str, name: str | None = None) -> str:
     """A double to nine places: sums come in another order on another engine."""
@@ -105,6 +106,7 @@ SELECTS: dict[str, tuple[str, str]] = {
     "detector_features": ("embeddings", f"""SELECT d.image_id, CAST(k.x AS INT) AS feature, {_d('CASE WHEN k.x = 0 THEN t.foreground WHEN k.x = 1 THEN t.horizontal WHEN k.x = 2 THEN t.vertical WHEN k.x < 19 THEN coalesce(a.n, 0) / CAST((d.h - 1) * (d.w - 1) AS DOUBLE) ELSE coalesce(b.n, 0) / CAST((d.h - 2) * (d.w - 2) AS DOUBLE) END', 'value')}
         FROM dim d CROSS JOIN RANGE(531) k JOIN transitions t ON t.image_id = d.image_id LEFT JOIN (SELECT image_id, code2, count(*) AS n FROM codes GROUP BY image_id, code2) a ON a.image_id = d.image_id AND a.code2 = k.x - 3 LEFT JOIN (SELECT image_id, code3, count(*) AS n FROM codes3 GROUP BY image_id, code3) b ON b.image_id = d.image_id AND b.code3 = k.x - 19"""),
     "context_patches": ("embeddings", f"SELECT image_id, br, bc, i, v FROM context"),
+    "average_peak_context": ("embeddings", f"SELECT image_id, peak, i, {_d('mean')} FROM peak_context"),
     "context_features": ("embeddings", f"SELECT image_id, br, bc, pat, {_d('density')}, {_d('horizontal')}, {_d('vertical')} FROM context_summary"),
     "best_uniform_flip": ("embeddings", f"SELECT image_id, br, bc, pat, position, {_d('cost')} FROM best_flip"),
     "uniform_samples": ("embeddings", f"SELECT image_id, br, bc, safe FROM (SELECT q.*, row_number() OVER (PARTITION BY image_id, safe ORDER BY (br * 7919 + bc * 104729) % 10007, br, bc) AS o, sum(safe) OVER (PARTITION BY image_id) AS positives FROM (SELECT image_id, br, bc, CASE WHEN round(cost, 9) <= 0.5 THEN 1 ELSE 0 END AS safe FROM best_flip) q) z WHERE safe = 1 OR o <= 5 * greatest(positives, 1)"),
@@ -124,4 +126,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: steps.sql(text, fixture, "other") for name, (fixture, text) in SELECTS.items()} | study.oracle_sql()
+    return {name: steps.sql(text, fixture, "other") for name, (fixture, text) in SELECTS.items()} | study.oracle_sql() | DEFINITIONS
