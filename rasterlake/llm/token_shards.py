@@ -27,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import id_text, shared_folder, written
+from rasterlake.llm.common import id_text, written
 from rasterlake.llm.packing import byte_bpe, default_vocabulary, token_ids
+from rasterlake.stages import shared_folder
 
 HEADER = 16
 
