@@ -82,6 +82,29 @@ def test_other_codecs():
         codecs.encode_tables([5], [6], 1)
 
 
+@pytest.mark.parametrize("t", [0, 1, 2, 7, 80])
+def test_side_information_of_all_versions_is_read(t):
+    import struct
+
+    peaks = list(range(3, 3 + 6 * t, 6))
+    flips = [p % 9 for p in peaks]
+    tables = {p: [p, p ^ (1 << f)] for p, f in zip(peaks, flips, strict=True)}
+    bitmap = bytearray(64)
+    for p in peaks:
+        bitmap[p // 8] |= 1 << (p % 8)
+    nibbles = bytes(sum(f << (4 * k) for k, f in enumerate(flips[i : i + 2])) for i in range(0, t, 2))
+    two = struct.pack(">4sBIII BfBH", b"ABMA", 2, 50, 60, 99, 3, 0.1, 1, t) + bytes(bitmap) + nibbles
+    three = [struct.pack(">4sBIHB", b"ABMA", 3, 99, t, mode) + body for mode, body in ((0, bytes(bitmap) + nibbles), (1, codecs.pack_bits([p << 4 | f for p, f in zip(peaks, flips, strict=True)], 13)))]
+    assert codecs.decode_any(codecs.wire(two)) == (tables, 99, (50, 60))
+    assert [codecs.decode_any(codecs.wire(x)) for x in three] == [(tables, 99, (0, 0))] * 2
+    assert codecs.decode_any(codecs.encode_tables(peaks, [z for _, z in tables.values()], 99)) == (tables, 99, (0, 0))
+    assert codecs.decode_any(codecs.encode_multi(tables, (50, 60), 99, 0.5)) == (tables, 99, (50, 60))
+    with pytest.raises(ValueError):
+        codecs.decode_any(codecs.wire(three[0][:11] + b"\7" + three[0][12:]))
+    with pytest.raises(ValueError):
+        codecs.decode_any(codecs.wire(two[: struct.calcsize(">4sBIII BfB")] + struct.pack(">H", t + 1) + bytes(bitmap) + nibbles))
+
+
 def test_embedding_comes_back_exactly(spark):
     rng = np.random.default_rng(3)
     big = {"k": (rng.random((600, 300)) < 0.03).astype(np.uint8)}
@@ -223,3 +246,33 @@ def test_gray_maps(spark, tmp_path):
     assert [r.number for r in source.listed(spark, str(tmp_path)).collect()] == [2, 10]
     assert reports.write_pgm(ones, dim, f"file://{tmp_path}/out").count() == 2
     assert source.parse_pgm((tmp_path / "out" / "2.pgm").read_bytes()).tolist() == [[0, 0, 255, 255]]
+
+
+def png(gray: np.ndarray) -> bytes:
+    """An 8-bit PNG, of one channel or of three."""
+    import struct
+    import zlib
+
+    h, w = gray.shape[:2]
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    raw = b"".join(b"\0" + row.tobytes() for row in gray.astype(np.uint8))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0 if gray.ndim == 2 else 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+
+
+def test_decoded_images(spark, tmp_path):
+    from rasterlake.sources import images as source
+
+    rng = np.random.default_rng(1)
+    gray, colour = rng.integers(0, 256, (5, 7)), rng.integers(0, 256, (4, 3, 3))
+    (tmp_path / "g.png").write_bytes(png(gray))
+    (tmp_path / "c.png").write_bytes(png(colour))
+    got = {(r.image_id, r.r): list(r.gray) for r in source.decoded_rows(spark, str(tmp_path)).collect()}
+    want = {("g", k): row.tolist() for k, row in enumerate(gray)} | {("c", k): [(299 * r + 587 * g + 114 * b + 500) // 1000 for r, g, b in row.tolist()] for k, row in enumerate(colour)}
+    assert got == want
+
+
+def test_message_and_reports(spark, tmp_path):
+    from rasterlake.sources import reports
+
+    rows = reports.message_rows(spark, 20, spark.createDataFrame([("a", 3), ("b", 5)], "image_id string, number long"), 40).collect()
+    assert [r.bit for r in sorted(rows, key=lambda r: (r.image_id, r.i))] == [int(b) for k in (43, 45) for b in np.random.default_rng(k).integers(0, 2, 20)]
