@@ -391,7 +391,14 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, small: int = 16, blo
         reach = opened.groupBy("doc", "doc_head", "n").agg(F.count_distinct("key").alias("k")).join(partner, "doc", "left").groupBy("doc_head", "n").agg(F.max(F.col("k") + F.coalesce("most", F.lit(0))).alias("k"))
         able = reach.where(F.col("k") >= needed).select("doc_head")
         member = written(opened.join(able, "doc_head", "left_semi").select("cluster", F.col("doc_head").alias("doc"), "label", "n").distinct(), "open-clusters")
-        keys = opened.join(partner, "doc", "left").groupBy(F.col("doc_head").alias("doc")).agg(F.collect_set("key").alias("keys"), F.max(F.coalesce("most", F.lit(0))).cast("int").alias("most"))
+        # What small regions add: the most shingles shared with a document of another component that hasn't been verified yet.
+        head_label = written(opened.select("doc", "doc_head", "label").distinct(), "open-documents")
+        apart = among(among(found.select("a", "b", "shared"), "a", head_label), "b", head_label)
+        for c in ("a", "b"):
+            apart = apart.join(head_label.select(F.col("doc").alias(c), F.col("doc_head").alias(f"{c}_head"), F.col("label").alias(f"{c}_label")), c)
+        apart = apart.where("a_label <> b_label").select(F.greatest("a_head", "b_head").alias("a"), F.least("a_head", "b_head").alias("b"), "shared").join(first.select("a", "b"), ["a", "b"], "left_anti")
+        apart = apart.select("a", "shared").union(apart.select("b", "shared")).groupBy(F.col("a").alias("doc")).agg(F.max("shared").alias("most"))
+        keys = opened.groupBy(F.col("doc_head").alias("doc")).agg(F.collect_set("key").alias("keys")).join(apart, "doc", "left").select("doc", "keys", F.coalesce("most", F.lit(0)).cast("int").alias("most"))
         keys = written(keys.join(member.select("doc").distinct(), "doc"), "open-keys")
         member = written(member.join(written(with_partner(member, keys, percent, block, weight), "with-partner"), "doc", "left_semi").select("cluster", "doc", "label", "n"), "open-clusters")
 
