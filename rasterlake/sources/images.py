@@ -42,12 +42,19 @@ def pgm_rows(spark: SparkSession, folder: str, pattern: str = "*.pgm") -> DataFr
 
 
 def decoded_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """The same of images that Spark decodes (PNG, JPEG, BMP, GIF); of coloured ones the luma of their blue, green and red bytes."""
+    """The same of images that Spark decodes (PNG, JPEG, BMP, GIF); of coloured ones the luma of their blue, green and red bytes. Lines of one image go to Python at a time."""
     image = spark.read.format("image").option("dropInvalid", True).load(folder).select("image.*")
-    at = lambda r, c, k: F.conv(F.hex(F.substring("data", (r * F.col("width") + c) * F.col("nChannels") + k + 1, F.lit(1))), 16, 10).cast("int")
-    luma = lambda r, c: F.when(F.col("nChannels") == 1, at(r, c, 0)).otherwise(F.floor((114 * at(r, c, 0) + 587 * at(r, c, 1) + 299 * at(r, c, 2) + 500) / 1000).cast("int"))
-    line = image.select(F.regexp_extract("origin", r"([^/]+)\.[^./]+$", 1).alias("image_id"), "*", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("r"))
-    return line.select("image_id", "r", F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda c: luma(F.col("r"), c).cast("smallint")).alias("gray"))
+    lines = image.select(F.regexp_extract("origin", r"([^/]+)\.[^./]+$", 1).alias("image_id"), "width", "nChannels", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda r: F.substring("data", r * F.col("width") * F.col("nChannels") + 1, F.col("width") * F.col("nChannels")))).alias("r", "line"))
+
+    def luma(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            gray = []
+            for width, channels, line in zip(batch["width"], batch["nChannels"], batch["line"], strict=True):
+                x = np.frombuffer(line, np.uint8).reshape(width, channels).astype(np.int64)
+                gray.append((x[:, 0] if channels == 1 else (x[:, :3] @ np.array([114, 587, 299]) + 500) // 1000).astype(np.int16))
+            yield pd.DataFrame({"image_id": batch["image_id"], "r": batch["r"], "gray": gray})
+
+    return lines.mapInPandas(luma, "image_id string, r int, gray array<smallint>")
 
 
 def raster(rows: DataFrame, threshold: int | None = None) -> tuple[DataFrame, DataFrame]:

@@ -22,3 +22,11 @@ def test_layers_come_back(spark, name):
 def test_wires_come_back(spark, name):
     rows = registry.queries()[name](spark, SF).collect()
     assert rows and all(r.same for r in rows)
+
+
+def test_written_steps_can_be_forgotten(spark):
+    from rasterlake import stages
+
+    stages.forget(spark)
+    df = stages.kept(spark.range(3), "three")
+    assert df.count() == 3 and stages.forget(spark) == 1 and stages.forget(spark) == 0
