@@ -452,5 +452,6 @@ def oracle_sql() -> dict[str, str]:
             LEFT JOIN (SELECT q.image_id, sum(({steps.BIT.format(i='i')}) * (i % 97 + 1)) AS s FROM ({payload}) q EACH(CAST(q.bits AS INT), i) GROUP BY q.image_id) m ON m.image_id = p.image_id
             LEFT JOIN (SELECT image_id, count(*) AS n, sum(r * 7 + c) AS s FROM ones GROUP BY image_id) o ON o.image_id = p.image_id"""
         out[name] = steps.sql(text, fixture, "other")
+    out["uniform_layer"] = steps.sql("SELECT image_id, count(*) AS bits, count(*) AS restored, count(*) AS bits_equal FROM best_flip WHERE round(cost, 9) <= 0.7 GROUP BY image_id", "embeddings", "other")
     out["codec_roundtrip"] = steps.sql("SELECT image_id, CAST(best_t AS BIGINT) AS tables, CAST(wire_bits AS BIGINT) AS wire_bits, true AS same FROM best", "lineitem", "other")
     return out
