@@ -193,7 +193,7 @@ def situations(text: str) -> Iterator[tuple[str, int]]:
             yield f"{m.shape}|{m.cue}|{near(i - 1)}|{near(i + 1)}|{one(linked[i][0])}|{one(linked[i][1])}", label[i]
 
 
-def fit(counted: list[tuple[str, int, int]], penalty: float = 1.0, steps: int = 400) -> Potentials:
+def fit(counted: list[tuple[str, int, int]], penalty: float = 0.1, steps: int = 400) -> Potentials:
     """Weights of the largest penalised pseudo-likelihood of counted situations, by gradient steps of adaptive length."""
     split = [s.split("|") for s, _, _ in counted]
     names = sorted({s[0] for s in split})
