@@ -19,7 +19,7 @@ def corpus():
     first, other, third, passage = words(130), words(140), words(90), words(64)
     near = list(first)
     near[60] = "changed"
-    holder, repeater = words(30) + passage + words(40), words(50) + passage + words(45)
+    holder, repeater = words(30) + passage + words(40), words(54) + passage + words(45)
     mail = words(70) + ["someone.x@site.org", "and"] + words(30)
     docs = {1: text(first), 2: text(first), 3: text(near), 4: text(other) + "\nRead more | Home | Next page | Sign in", 5: text(holder), 6: text(repeater), 7: text(mail), 8: "too short", 9: None, 10: text(third)}
     want = {1: docs[1], 4: text(other), 5: docs[5], 6: None, 7: docs[7].replace("someone.x@site.org", "[EMAIL]"), 10: docs[10]}
@@ -48,7 +48,7 @@ def test_run_equals_the_plain_version(spark, frame, tmp_path):
     frame.write.parquet(f"{tmp_path}/documents.parquet")
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     docs, want, repeater, passage = corpus()
-    # The repeated passage goes with the white space behind it, and up to as many words at its ends as two near passages may differ in.
+    # The repeated passage goes with the white space behind it; lines end after the same words of it in both documents (30 and 54 words lie before it).
     lines, at = docs[6].split(), repeater.index(passage[0])
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -59,7 +59,7 @@ def test_run_equals_the_plain_version(spark, frame, tmp_path):
     got = {r.doc_id: [(r.length, r.ids_crc32)] for r in rows}
     assert len(rows) == len(got) and set(got) == set(want)
     assert all(got[d] == pieces(t) for d, t in want.items() if t is not None)
-    assert got[6][0][0] < pieces(docs[6])[0][0] - len(passage) and len(lines) == len(repeater) and at == 50
+    assert got[6][0][0] < pieces(docs[6])[0][0] - len(passage) and len(lines) == len(repeater) and at == 54
 
 
 def test_run_on_an_empty_table(spark, frame, tmp_path):
