@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterlake.llm import compact_windows, divergence, embedding_dedup, jaccard_join, packing, pii_crf, quality_gam, quality_rules, sentencepiece_match, suffix_dedup, token_shards, treap_search
+from rasterlake.llm import compact_windows, divergence, embedding_dedup, jaccard_join, packing, pii_crf, quality_gam, quality_rules, sentencepiece_match, suffix_dedup, token_shards, treap_search, warc
 from rasterlake.llm.common import read_table
 
 
@@ -50,6 +50,10 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(read_table(spark, sf_dir, "pages"))
+
+
 def op12_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treap_search.ranked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -61,7 +65,7 @@ def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_sentencepiece, op2_suffix_dedup, op3_pii_crf, op4_embedding_dedup, op5_jaccard_join, op6_quality_rules, op7_best_fit_packing, op8_compact_windows, op9_token_shards, op10_quality_gam,
-        op12_treap_search, op13_divergence_audit,
+        op11_warc, op12_treap_search, op13_divergence_audit,
     )}
 
 
@@ -84,4 +88,4 @@ SELECT w.doc_id, coalesce(v.n, 0)::BIGINT AS n_shingles, coalesce(c.m, w.doc_id)
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can say what the method says; tests hold the others against brute force."""
-    return {"op4_embedding_dedup": OP4_SQL, "op5_jaccard_join": OP5_SQL, "op6_quality_rules": quality_rules.oracle(), "op12_treap_search": treap_search.SQL, "op13_divergence_audit": divergence.SQL}
+    return {"op4_embedding_dedup": OP4_SQL, "op5_jaccard_join": OP5_SQL, "op6_quality_rules": quality_rules.oracle(), "op11_warc": warc.SQL, "op12_treap_search": treap_search.SQL, "op13_divergence_audit": divergence.SQL}
