@@ -49,6 +49,15 @@ rk AS (SELECT p.payload_bits, p.competitor, p.metric, p.image, p.d, count(*) FIL
   FROM e p JOIN e q USING (payload_bits, competitor, metric) WHERE p.d <> 0 AND q.d <> 0 GROUP BY p.payload_bits, p.competitor, p.metric, p.image, p.d),
 ws AS (SELECT payload_bits, competitor, metric, count(*) AS n, coalesce(sum(k) FILTER (WHERE d > 0), 0) AS w_plus, coalesce(sum(k) FILTER (WHERE d < 0), 0) AS w_minus, sum(ties::DOUBLE * ties - 1) AS tie_term FROM rk GROUP BY ALL)"""
 
+#: Exact two-sided p: all signs of the ranks, by their sums, one pair after the other; beyond 50 pairs the tail of the normal distribution (fixed values of a published approximation).
+_EXACT = """ix AS (SELECT payload_bits, competitor, metric, row_number() OVER (PARTITION BY payload_bits, competitor, metric ORDER BY image) AS o, (2 * k)::INT AS twice FROM rk),
+dp AS (SELECT payload_bits, competitor, metric, 0::BIGINT AS o, 0 AS s, 1::DOUBLE AS ways FROM ws WHERE n <= 50 UNION ALL
+  SELECT payload_bits, competitor, metric, o, s, sum(ways) AS ways FROM (SELECT d.payload_bits, d.competitor, d.metric, i.o, unnest([d.s, d.s + i.twice]) AS s, d.ways FROM dp d JOIN ix i ON i.payload_bits = d.payload_bits AND i.competitor = d.competitor AND i.metric = d.metric AND i.o = d.o + 1) GROUP BY ALL),
+zs AS (SELECT *, (least(w_plus, w_minus) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tie_term / 48) AS z FROM ws WHERE n > 50),
+pv AS (SELECT payload_bits, competitor, metric, least(1, 2 * sum(ways) FILTER (WHERE s <= 2 * least(w_plus, w_minus)) / power(2, any_value(n))) AS p FROM dp JOIN ws USING (payload_bits, competitor, metric) WHERE dp.o = ws.n GROUP BY ALL
+  UNION ALL SELECT payload_bits, competitor, metric, least(1, 2 * exp(-z * z / 2) / sqrt(2 * pi()) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))) FROM (SELECT *, 1 / (1 + 0.2316419 * abs(z)) AS t FROM zs)
+  UNION ALL SELECT DISTINCT payload_bits, competitor, metric, 1 FROM e ANTI JOIN ws USING (payload_bits, competitor, metric))"""
+
 _GRAY = """h AS (SELECT image_id, g, count(*) AS n FROM (SELECT lang AS image_id, least(unicode(unnest(regexp_extract_all(text, '(?s).'))), 255) AS g FROM documents) GROUP BY ALL),
 v AS (SELECT t.image_id, t.g AS t, (SELECT sum(n) FROM h a WHERE a.image_id IS NOT DISTINCT FROM t.image_id AND a.g <= t.g)::DOUBLE AS w0, (SELECT sum(n * g) FROM h a WHERE a.image_id IS NOT DISTINCT FROM t.image_id AND a.g <= t.g)::DOUBLE AS s0,
   (SELECT sum(n) FROM h a WHERE a.image_id IS NOT DISTINCT FROM t.image_id AND a.g > t.g)::DOUBLE AS w1, (SELECT sum(n * g) FROM h a WHERE a.image_id IS NOT DISTINCT FROM t.image_id AND a.g > t.g)::DOUBLE AS s1 FROM h t),
@@ -85,6 +94,9 @@ DEFINITIONS: dict[str, str] = {
     "otsu_threshold": _with(_GRAY) + "SELECT image_id, threshold::BIGINT AS threshold FROM o",
     "wilcoxon_stats": _with(_RUNS) + f"SELECT payload_bits, competitor, metric, n, {_r('w_plus', 'w_plus')}, {_r('w_minus', 'w_minus')}, {_r('tie_term', 'tie_term')} FROM ws",
     "wilcoxon_z": _with(_RUNS) + f"SELECT payload_bits, competitor, metric, {_r('(least(w_plus, w_minus) - n * (n + 1) / 4) / sqrt(greatest(n * (n + 1) * (2 * n + 1) / 24 - tie_term / 48, 1e-12))', 'z')} FROM ws",
+    "wilcoxon_p": _with(_RUNS, _EXACT).replace("WITH", "WITH RECURSIVE", 1) + f"SELECT payload_bits, competitor, metric, {_r('p', 'p')} FROM pv",
+    "holm_adjust": _with(_RUNS, _EXACT).replace("WITH", "WITH RECURSIVE", 1) + f"""SELECT a.payload_bits, a.competitor, a.metric, {_r('a.p', 'p')}, {_r('max(least(1, (b.m - b.o + 1) * b.p))', 'adjusted')} FROM pv a JOIN (SELECT *, count(*) OVER (PARTITION BY payload_bits) AS m, row_number() OVER (PARTITION BY payload_bits ORDER BY round(p, 12), competitor, metric) AS o FROM pv) b
+        ON b.payload_bits = a.payload_bits AND (round(b.p, 12), b.competitor, b.metric) <= (round(a.p, 12), a.competitor, a.metric) GROUP BY a.payload_bits, a.competitor, a.metric, a.p""",
     "auc_rank": f"WITH s AS (SELECT CAST(label IN (1, 3, 5) AS INT) AS y, round(embedding[1] * 100)::INT AS s FROM embeddings WHERE label IS NOT NULL) SELECT (SELECT sum(y) FROM s)::BIGINT AS positives, {_r('avg(CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0.0 END)', 'auc')} FROM s a JOIN s b ON a.y = 1 AND b.y = 0",
     "seeded_sample": "SELECT p.p_partkey FROM part p WHERE (SELECT count(*) FROM part q WHERE ((q.p_partkey * 1103515245 + 12345) % 1000003, q.p_partkey) < ((p.p_partkey * 1103515245 + 12345) % 1000003, p.p_partkey)) < 50",
     "drd_kernel": f"SELECT a::INT AS dr, b::INT AS dc, {_r('1 / sqrt(a * a + b * b) / ' + repr(sum(1 / math.hypot(i, j) for i in range(-2, 3) for j in range(-2, 3) if i or j)), 'wt')} FROM unnest(range(-2, 3)) AS x(a), unnest(range(-2, 3)) AS y(b) WHERE a <> 0 OR b <> 0",

@@ -155,9 +155,15 @@ STEPS: dict[str, str] = {
     "delta_ranks": "SELECT q.*, CASE WHEN d = 0 THEN 0.0 ELSE k + (ties - 1) / 2.0 END AS mean_rank FROM (SELECT d.*, rank() OVER (PARTITION BY payload_bits, competitor, metric ORDER BY abs(d)) AS k, count(*) OVER (PARTITION BY payload_bits, competitor, metric, abs(d)) AS ties FROM deltas d WHERE d <> 0) q",
     "wilcoxon": """SELECT payload_bits, competitor, metric, count(*) AS n, sum(CASE WHEN d > 0 THEN mean_rank ELSE 0.0 END) AS w_plus, sum(CASE WHEN d < 0 THEN mean_rank ELSE 0.0 END) AS w_minus, sum(CAST(ties AS DOUBLE) * ties - 1) AS tie_term FROM delta_ranks GROUP BY payload_bits, competitor, metric""",
     "z_scores": "SELECT payload_bits, competitor, metric, n, w_plus, w_minus, (least(w_plus, w_minus) - n * (n + 1) / 4.0) / sqrt(greatest(n * (n + 1.0) * (2 * n + 1) / 24.0 - tie_term / 48.0, 1e-12)) AS z FROM wilcoxon",
-    # Two-sided tail of the normal distribution by a polynomial (fixed values of a published approximation, good to 1e-7); a pair of methods without differences has 1.
-    "p_values": """SELECT c.payload_bits, c.competitor, c.metric, CASE WHEN z IS NULL THEN 1.0 ELSE least(1.0, 2 * exp(-z * z / 2) / 2.5066282746310002 * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))) END AS p
-        FROM (SELECT DISTINCT payload_bits, competitor, metric FROM deltas) c LEFT JOIN (SELECT z.*, 1 / (1 + 0.2316419 * abs(z)) AS t FROM z_scores z) s ON s.payload_bits = c.payload_bits AND s.competitor = c.competitor AND s.metric = c.metric""",
+    # The exact null of rank sums for up to 50 pairs: how many of the 2^n signs give each sum of doubled ranks (doubled, as ties share half ranks), one rank after the other.
+    "few_pairs": """SELECT d.payload_bits, d.competitor, d.metric, w.n, CAST(round(2 * least(w.w_plus, w.w_minus)) AS INT) AS low, collect_list(CAST(round(2 * d.mean_rank) AS INT)) AS ranks
+        FROM delta_ranks d JOIN wilcoxon w ON w.payload_bits = d.payload_bits AND w.competitor = d.competitor AND w.metric = d.metric WHERE w.n <= 50 GROUP BY d.payload_bits, d.competitor, d.metric, w.n, w.w_plus, w.w_minus""",
+    "exact_tails": """SELECT payload_bits, competitor, metric, least(CAST(1 AS DOUBLE), 2 * aggregate(slice(ways, 1, low + 1), CAST(0 AS DOUBLE), (a, x) -> a + x) / power(2, n)) AS p FROM (SELECT f.*,
+        aggregate(ranks, transform(sequence(0, CAST(n * (n + 1) AS INT)), s -> CAST(s = 0 AS DOUBLE)), (c, k) -> transform(c, (x, s) -> x + CASE WHEN s < k THEN CAST(0 AS DOUBLE) ELSE element_at(c, s - k + 1) END)) AS ways FROM few_pairs f) q""",
+    # Beyond: two-sided tail of the normal distribution by a polynomial (fixed values of a published approximation, good to 1e-7); a pair of methods without differences has 1.
+    "p_values": """SELECT c.payload_bits, c.competitor, c.metric, CASE WHEN e.p IS NOT NULL THEN e.p WHEN z IS NULL THEN 1.0 ELSE least(1.0, 2 * exp(-z * z / 2) / 2.5066282746310002 * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))) END AS p
+        FROM (SELECT DISTINCT payload_bits, competitor, metric FROM deltas) c LEFT JOIN (SELECT z.*, 1 / (1 + 0.2316419 * abs(z)) AS t FROM z_scores z) s ON s.payload_bits = c.payload_bits AND s.competitor = c.competitor AND s.metric = c.metric
+        LEFT JOIN exact_tails e ON e.payload_bits = c.payload_bits AND e.competitor = c.competitor AND e.metric = c.metric""",
     "gray": "SELECT d.lang AS image_id, least(ascii(ch), 255) AS g FROM documents d CHARS(d.text, ch) WHERE ch <> ''",
     "gray_hist": "SELECT image_id, g, count(*) AS n FROM gray GROUP BY image_id, g",
     "gray_prefix": "SELECT image_id, g, n, sum(n) OVER p AS w0, sum(n) OVER (PARTITION BY image_id) - sum(n) OVER p AS w1, sum(n * g) OVER p AS s0, sum(n * g) OVER (PARTITION BY image_id) - sum(n * g) OVER p AS s1 FROM gray_hist WINDOW p AS (PARTITION BY image_id ORDER BY g ROWS UNBOUNDED PRECEDING)",
