@@ -27,6 +27,7 @@ import base64
 import bisect
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -56,18 +57,20 @@ def base32(sha1):
     return F.translate(F.concat(*parts), COUNTED, WRITTEN)
 
 
-def url_key(url):
-    """``com,example,www:port)/path?query``, cut at MOST_KEY characters; what isn't a URL with a host stays as it is."""
-    part = lambda k: F.regexp_extract(url, r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(:[0-9]+)?([^#]*)", k)
-    host = F.array_join(F.reverse(F.split(F.lower(part(1)), "[.]")), ",")
-    return F.substring(F.when(part(1) == "", url).otherwise(F.concat(host, part(2), F.lit(")"), part(3))), 1, MOST_KEY)
+_HOST = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(:[0-9]+)?([^#]*)", re.S)
+_CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
 
-def clean_url(url):
+def clean_url(url: str | None) -> str:
     """Control characters and spaces as %XX, so that a URL is one header's value and one field of a line."""
-    for k in [*range(33), 127]:
-        url = F.replace(url, F.lit(chr(k)), F.lit(f"%{k:02X}"))
-    return url
+    return _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", url or "")
+
+
+def url_key(url: str) -> str:
+    """``com,example,www:port)/path?query``, cut at MOST_KEY characters; what isn't a URL with a host stays as it is."""
+    if m := _HOST.match(url):
+        url = f"{','.join(reversed(m[1].lower().split('.')))}{m[2] or ''}){m[3]}"
+    return url[:MOST_KEY]
 
 
 def opened(uri: str):
@@ -137,7 +140,7 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0, file_mb:
     """Write the records and their index to ``folder`` (any address that pyarrow opens); returns the table of index files: file, first, last, n_lines."""
     spark = pages.sparkSession
     html = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), clean_url(F.coalesce(F.col(url_col).cast("string"), F.lit(""))).alias("url"), html.alias("html"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumns({"sha1": F.sha1("html"), "sha2": F.sha2("html", 256), "size": F.octet_length("html").cast("long")})
     same = ["sha1", "sha2"]
     # Only digests that occur twice or more need a decision; their rows are picked out by flags before the join.
@@ -147,18 +150,19 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0, file_mb:
     undecided, marks = flagged(marked, "mark", several.select("mark")), several.select("mark")
     alone = flagged(marked, "mark", marks, "left_anti").select("page_id", "url", "html", "sha1", "size", F.lit(False).alias("revisit"), F.lit(None).cast("struct<page_id:bigint,url:string>").alias("top"))
     decided = undecided.join(several.drop("mark").hint("merge"), same, "left").select("page_id", "url", "html", "sha1", "size", (F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top.page_id"))).alias("revisit"), "top")
-    dealt = alone.union(decided).select("page_id", "url", url_key(F.col("url")).alias("key"), F.when(~F.col("revisit"), F.col("html")).alias("html"), base32(F.col("sha1")).alias("digest"), "size", "revisit", "top.page_id", "top.url")
-    dealt = dealt.toDF("page_id", "url", "key", "html", "digest", "size", "revisit", "refers_to", "refers_url")
+    dealt = alone.union(decided).select("page_id", "url", F.when(~F.col("revisit"), F.col("html")).alias("html"), base32(F.col("sha1")).alias("digest"), "size", "revisit", "top.page_id", "top.url")
+    dealt = dealt.toDF("page_id", "url", "html", "digest", "size", "revisit", "refers_to", "refers_url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = Files(folder, "pages", file_mb << 20)
         for batch in batches:
             lines = []
-            for page_id, url, key, payload, digest, size, revisit, refers_to, refers_url in zip(*(c if c.type == pa.binary() else c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, payload, digest, size, revisit, refers_to, refers_url in zip(*(c if c.type == pa.binary() else c.to_pylist() for c in batch.columns), strict=True):
                 kind, press = "revisit" if revisit else "response", zlib.compressobj(level, wbits=31)
+                url, refers_url = clean_url(url), clean_url(refers_url)
                 raw = record(kind, page_id, url, digest, size, payload.as_py() or b"", refers_to, refers_url, date)
                 file, offset, length = files.put(press.compress(raw) + press.flush())
-                lines.append((key, page_id, kind, file, offset, length, digest, refers_to if revisit else None, refers_url if revisit else None))
+                lines.append((url_key(url), page_id, kind, file, offset, length, digest, refers_to if revisit else None, refers_url if revisit else None))
             kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*lines, strict=True) if lines else [()] * 9, kinds, strict=True)], LINE_NAMES)
         files.close()
@@ -238,13 +242,13 @@ def found_lines(f, entries: list, key: str) -> Iterator[list]:
 
 def lookup(files: DataFrame, folder: str, urls: DataFrame) -> DataFrame:
     """Captures of ``urls`` (one column of URLs): lines of the index with the URL's key, by binary search. Keys that are asked for often are looked up once."""
-    keys = urls.select(url_key(clean_url(F.coalesce(F.col(urls.columns[0]), F.lit("")))).alias("asked")).distinct()
+    asked = urls.select(F.col(urls.columns[0]).alias("url")).distinct()
     ranges = sorted((r["first"], r["last"], r["file"]) for r in files.collect())  # MOST_FILES rows with keys of MOST_KEY characters
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key in batch.column(0).to_pylist():
+            for key in {url_key(clean_url(url)) for url in batch.column(0).to_pylist()}:
                 # Files are in order and touch at most at their ends.
                 at = bisect.bisect_left(ranges, key, key=lambda r: r[1])
                 while at < len(ranges) and ranges[at][0] <= key:
@@ -265,7 +269,7 @@ def lookup(files: DataFrame, folder: str, urls: DataFrame) -> DataFrame:
                     out = []
         yield lines_batch(out)
 
-    asked = keys.mapInArrow(deal, "file string, asked string").repartition("file", "asked").sortWithinPartitions("file", "asked")
+    asked = asked.mapInArrow(deal, "file string, asked string").distinct().repartition("file", "asked").sortWithinPartitions("file", "asked")
     return asked.mapInArrow(search, LINE)
 
 
@@ -302,10 +306,8 @@ def archived(pages: DataFrame, folder: str | None = None, **settings) -> DataFra
     read = written(records(captures(files, folder), folder, payloads=False).drop("payload"), "records")
     revisits = read.where("kind = 'revisit'")
     # What a revisit stands for is looked up by the URL that it refers to; many revisits of one record are one request.
-    targets = written(revisits.select("refers_url", "refers_to").distinct(), "targets")
-    lines = lookup(files, folder, targets.select("refers_url"))
-    wanted = targets.select(F.col("refers_to").alias("page_id"), url_key(F.col("refers_url")).alias("key")).distinct()
-    lines = lines.where("kind = 'response'").join(wanted, ["key", "page_id"], "left_semi")
+    targets = written(revisits.select("refers_url", F.col("refers_to").alias("page_id"), "digest").distinct(), "targets")
+    lines = lookup(files, folder, targets.select("refers_url")).where("kind = 'response'").join(targets, ["page_id", "digest"], "left_semi")
     full = records(lines, folder, payloads=False).select(F.col("page_id").alias("refers_to"), F.col("digest"), F.col("payload_bytes").alias("full_bytes")).distinct()
     resolved = revisits.join(full.hint("merge"), ["refers_to", "digest"], "left").select("page_id", F.coalesce("full_bytes", F.raise_error(F.lit("a revisit refers to a record that isn't there"))).alias("payload_bytes"), "digest", "kind", "refers_to")
     both = read.where("kind = 'response'").select("page_id", "payload_bytes", "digest", "kind", "refers_to").union(resolved)
