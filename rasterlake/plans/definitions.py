@@ -97,6 +97,21 @@ DEFINITIONS: dict[str, str] = {
     "wilcoxon_p": _with(_RUNS, _EXACT).replace("WITH", "WITH RECURSIVE", 1) + f"SELECT payload_bits, competitor, metric, {_r('p', 'p')} FROM pv",
     "holm_adjust": _with(_RUNS, _EXACT).replace("WITH", "WITH RECURSIVE", 1) + f"""SELECT a.payload_bits, a.competitor, a.metric, {_r('a.p', 'p')}, {_r('max(least(1, (b.m - b.o + 1) * b.p))', 'adjusted')} FROM pv a JOIN (SELECT *, count(*) OVER (PARTITION BY payload_bits) AS m, row_number() OVER (PARTITION BY payload_bits ORDER BY round(p, 12), competitor, metric) AS o FROM pv) b
         ON b.payload_bits = a.payload_bits AND (round(b.p, 12), b.competitor, b.metric) <= (round(a.p, 12), a.competitor, a.metric) GROUP BY a.payload_bits, a.competitor, a.metric, a.p""",
+    # The sixteen nearest absent patterns within distance two of peaks that have two at least; planes pixel by pixel.
+    "candidate_tensors": _with(EMBEDDINGS, BLOCKS, _CONTEXT, """cn AS (SELECT f.image_id, f.pat AS peak, z::INT AS candidate, bit_count(xor(f.pat, z::INT))::INT AS dist FROM freq f, unnest(range(512)) AS u(z) WHERE f.n >= 2 AND f.pat NOT IN (0, 511) AND bit_count(xor(f.pat, z::INT)) <= 2 AND NOT EXISTS (SELECT 1 FROM freq g WHERE g.image_id = f.image_id AND g.pat = z)),
+tops AS (SELECT a.image_id, a.peak, a.candidate, a.dist FROM cn a JOIN cn b ON b.image_id = a.image_id AND b.peak = a.peak GROUP BY ALL HAVING count(*) FILTER (WHERE (b.dist, b.candidate) < (a.dist, a.candidate)) < 16 AND count(*) >= 2),
+ct AS (SELECT image_id, pat, i, sum(v)::INT AS k FROM cx GROUP BY ALL),
+cl AS (SELECT image_id, pat, string_agg(k, ',' ORDER BY i) AS context_counts FROM ct GROUP BY ALL)""") + """SELECT t.image_id, peak, candidate, dist,
+        (SELECT string_agg(CASE WHEN i // 9 BETWEEN 3 AND 5 AND i % 9 BETWEEN 3 AND 5 THEN (peak // power(2, 8 - 3 * (i // 9 - 3) - (i % 9 - 3))::INT) % 2 ELSE 0 END, '' ORDER BY i) FROM unnest(range(81)) AS u(i)) AS peak_plane,
+        (SELECT string_agg(CASE WHEN i // 9 BETWEEN 3 AND 5 AND i % 9 BETWEEN 3 AND 5 THEN (candidate // power(2, 8 - 3 * (i // 9 - 3) - (i % 9 - 3))::INT) % 2 ELSE 0 END, '' ORDER BY i) FROM unnest(range(81)) AS u(i)) AS candidate_plane, context_counts
+        FROM tops t JOIN cl ON cl.image_id = t.image_id AND cl.pat = t.peak""",
+    # Peaks one after the other, each with the cheapest absent pattern at distance one that is left.
+    "cost_order": _with(EMBEDDINGS, BLOCKS, COSTS, """pk AS (SELECT image_id, pat, n, CAST(row_number() OVER (PARTITION BY image_id ORDER BY n DESC, pat) AS INT) AS rk FROM freq WHERE n >= 2 AND pat NOT IN (0, 511)),
+bc AS (SELECT b.image_id, b.pat, CAST(power(2, 8 - 3 * (k.r % 3) - k.c % 3) AS INT) AS mask, round(avg(k.cost), 9) AS cost FROM blk b JOIN cost k ON k.image_id = b.image_id AND k.r // 3 = b.br AND k.c // 3 = b.bc GROUP BY ALL),
+ed AS (SELECT p.image_id, p.rk, p.pat, p.n, xor(p.pat, mask) AS z, cost FROM pk p JOIN bc ON bc.image_id = p.image_id AND bc.pat = p.pat WHERE NOT EXISTS (SELECT 1 FROM freq f WHERE f.image_id = p.image_id AND f.pat = xor(p.pat, mask))),
+ops AS (SELECT image_id, rk, list(z ORDER BY cost, z) AS zs FROM ed GROUP BY ALL),
+go AS (SELECT image_id, 0 AS rk, CAST([] AS INT[]) AS used, CAST(NULL AS INT) AS took FROM sz UNION ALL
+  SELECT g.image_id, g.rk + 1, CASE WHEN x IS NULL THEN used ELSE list_append(used, x) END, x FROM (SELECT g.*, list_filter(coalesce(o.zs, []), lambda z: NOT list_contains(g.used, z))[1] AS x FROM go g LEFT JOIN ops o ON o.image_id = g.image_id AND o.rk = g.rk + 1 WHERE EXISTS (SELECT 1 FROM pk WHERE pk.image_id = g.image_id AND pk.rk = g.rk + 1)) g)""").replace("WITH", "WITH RECURSIVE", 1) + "SELECT p.image_id, p.rk, p.pat AS peak, took AS pattern, p.n FROM go JOIN pk p ON p.image_id = go.image_id AND p.rk = go.rk WHERE took IS NOT NULL",
     "auc_rank": f"WITH s AS (SELECT CAST(label IN (1, 3, 5) AS INT) AS y, round(embedding[1] * 100)::INT AS s FROM embeddings WHERE label IS NOT NULL) SELECT (SELECT sum(y) FROM s)::BIGINT AS positives, {_r('avg(CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0.0 END)', 'auc')} FROM s a JOIN s b ON a.y = 1 AND b.y = 0",
     "seeded_sample": "SELECT p.p_partkey FROM part p WHERE (SELECT count(*) FROM part q WHERE ((q.p_partkey * 1103515245 + 12345) % 1000003, q.p_partkey) < ((p.p_partkey * 1103515245 + 12345) % 1000003, p.p_partkey)) < 50",
     "drd_kernel": f"SELECT a::INT AS dr, b::INT AS dc, {_r('1 / sqrt(a * a + b * b) / ' + repr(sum(1 / math.hypot(i, j) for i in range(-2, 3) for j in range(-2, 3) if i or j)), 'wt')} FROM unnest(range(-2, 3)) AS x(a), unnest(range(-2, 3)) AS y(b) WHERE a <> 0 OR b <> 0",
