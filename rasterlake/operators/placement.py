@@ -5,8 +5,8 @@ the middle of zeros, and the mean surroundings of the peak's occurrences. Its ta
 
 The model is two 3x3 convolutions (16 and 32 planes), means over 3x3 cells, a hidden layer of 64 and a softplus, 23,649 weights in one vector. Training
 is data-parallel with averaged weights: rows are dealt to shards by a hash of their key, each shard runs an epoch of mini-batch steps (smooth L1, AdamW) from the
-common weights, and the shards' weights, weighted by rows, are averaged in two levels before a few vectors reach the driver, which deals out the next epoch. Folds are a
-key beside the shard, so the models of all folds are trained side by side in the same tasks. Optimiser state starts anew with each epoch. Results depend on
+common weights, and the shards' weights and moments, weighted by rows, are averaged in two levels before a few vectors reach the driver, which deals out the next epoch. Folds are a
+key beside the shard, so the models of all folds are trained side by side in the same tasks. Results depend on
 ``shards``, ``seed`` and the rows, not on the cluster. Tensors are single precision; gradients have the tensors' precision, weights are doubles.
 """
 
@@ -119,20 +119,20 @@ def gradient(weights: np.ndarray, x: np.ndarray, target: np.ndarray) -> tuple[fl
     return float(loss), np.concatenate([p.ravel() for p in parts]).astype(float)
 
 
-def epoch(weights: np.ndarray, x: np.ndarray, target: np.ndarray, batch: int, rate: float, rng: np.random.Generator, decay: float = 0.01) -> np.ndarray:
-    """The weights after one pass in random order (AdamW)."""
-    weights, m, v, step = weights.copy(), np.zeros(WEIGHTS), np.zeros(WEIGHTS), 0
+def epoch(state: np.ndarray, step: int, x: np.ndarray, target: np.ndarray, batch: int, rate: float, rng: np.random.Generator, decay: float = 0.01) -> tuple[np.ndarray, int]:
+    """Weights and both moments (3, WEIGHTS) after one pass in random order, by AdamW, and the number of steps."""
+    w, m, v = state.copy()
     order = rng.permutation(len(x))
     for at in range(0, len(x), batch):
         use, step = order[at : at + batch], step + 1
-        g = gradient(weights, x[use], target[use])[1]
+        g = gradient(w, x[use], target[use])[1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        weights *= 1 - rate * decay
-        weights -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return weights
+        w *= 1 - rate * decay
+        w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return np.stack([w, m, v]), step
 
 
-def train(rows: DataFrame, folds: int = 1, epochs: int = 20, batch: int = 128, rate: float = 1e-3, shards: int = 4, shard_rows: int = 50_000, seed: int = 20260607) -> list[np.ndarray]:
+def train(rows: DataFrame, folds: int = 1, epochs: int = 10, batch: int = 32, rate: float = 5e-3, shards: int = 4, shard_rows: int = 50_000, seed: int = 20260607) -> list[np.ndarray]:
     """The weights of each fold's model. ``rows``: (fold, image_id, peak, candidate, target, tensor); a row with fold k trains model k.
 
     The number of shards follows the rows beyond ``shards * shard_rows``, so a task holds a bounded number of them.
@@ -140,30 +140,34 @@ def train(rows: DataFrame, folds: int = 1, epochs: int = 20, batch: int = 128, r
     n = rows.count()
     shards = max(shards, -(-n // max(1, shard_rows)))
     dealt = kept(rows.select("fold", F.pmod(F.xxhash64("image_id", "peak", "candidate"), F.lit(shards)).cast("int").alias("shard"), "image_id", "peak", "candidate", F.col("target").cast("double").alias("target"), "tensor"), "training-rows")
-    weights = [first_weights(seed + k) for k in range(folds)]
+    states = [np.stack([first_weights(seed + k), np.zeros(WEIGHTS), np.zeros(WEIGHTS)]) for k in range(folds)]
+    taken = [0] * folds
 
     def added(part: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(w.as_py()) for w in part["sums"])
-        return pa.table({"fold": part["fold"].combine_chunks()[:1], "n": pa.array([sum(part["n"].to_pylist())], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"fold": part["fold"].combine_chunks()[:1], "n": pa.array([sum(part["n"].to_pylist())], pa.int64()), "step": pa.array([max(part["step"].to_pylist())], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
 
     def pass_over(number: int, now) -> Callable[[pa.Table], pa.Table]:
         def one(part: pa.Table) -> pa.Table:
             part = part.sort_by([("image_id", "ascending"), ("peak", "ascending"), ("candidate", "ascending")])
             fold, shard = part["fold"][0].as_py(), part["shard"][0].as_py()
             x = np.asarray(part["tensor"].combine_chunks().flatten(), np.float32).reshape(-1, 3, SIDE, SIDE)
-            made = epoch(now.value[fold], x, part["target"].to_numpy(), batch, rate, np.random.default_rng([seed, number, fold, shard]))
-            return pa.table({"fold": pa.array([fold], pa.int32()), "lot": pa.array([shard % 8], pa.int32()), "n": pa.array([len(x)], pa.int64()), "sums": pa.array([(made * len(x)).tobytes()], pa.binary())})
+            state, step = now.value[fold]
+            made, step = epoch(state, step, x, part["target"].to_numpy(), batch, rate, np.random.default_rng([seed, number, fold, shard]))
+            return pa.table({"fold": pa.array([fold], pa.int32()), "lot": pa.array([shard % 8], pa.int32()), "n": pa.array([len(x)], pa.int64()), "step": pa.array([step], pa.int64()), "sums": pa.array([(made * len(x)).tobytes()], pa.binary())})
 
         return one
 
+    kinds = "n long, step long, sums binary"
     for number in range(epochs):
-        now = dealt.sparkSession.sparkContext.broadcast(np.stack(weights))  # folds x 190 kB
-        parts = dealt.groupBy("fold", "shard").applyInArrow(pass_over(number, now), "fold int, lot int, n long, sums binary").groupBy("fold", "lot").applyInArrow(added, "fold int, n long, sums binary").collect()
+        now = dealt.sparkSession.sparkContext.broadcast(list(zip(states, taken, strict=True)))  # folds x 570 kB
+        parts = dealt.groupBy("fold", "shard").applyInArrow(pass_over(number, now), f"fold int, lot int, {kinds}").groupBy("fold", "lot").applyInArrow(added, f"fold int, {kinds}").collect()
         for k in range(folds):
             if own := [p for p in parts if p["fold"] == k]:
-                weights[k] = sum(np.frombuffer(p["sums"]) for p in own) / sum(p["n"] for p in own)
+                states[k] = (sum(np.frombuffer(p["sums"]) for p in own) / sum(p["n"] for p in own)).reshape(3, WEIGHTS)
+                taken[k] = max(p["step"] for p in own)
         now.unpersist()
-    return weights
+    return [s[0] for s in states]
 
 
 def predicted(rows: DataFrame, weights: list[np.ndarray]) -> DataFrame:
@@ -349,12 +353,12 @@ def q_cost_order(spark, sf_dir: str) -> DataFrame:
 
 def q_cost_network(spark, sf_dir: str) -> DataFrame:
     """The convolutional model on images it hasn't seen."""
-    return held_out(training_rows(**raster(spark, sf_dir)), 4, epochs=6)
+    return held_out(training_rows(**raster(spark, sf_dir)), 4)
 
 
 def q_leave_one_out(spark, sf_dir: str) -> DataFrame:
     """Each image's candidates in the order of a model of the other images, against distance order at equal payload."""
-    return leave_one_out(**raster(spark, sf_dir), epochs=2)
+    return leave_one_out(**raster(spark, sf_dir), epochs=5)
 
 
 QUERIES = {"candidate_tensors": q_candidate_tensors, "cost_order": q_cost_order, "cost_network": q_cost_network, "leave_one_out": q_leave_one_out}
