@@ -92,7 +92,7 @@ def q_agent_layer(spark: SparkSession, sf_dir: str, trees: int = 20, depth: int
     """Trained on half of the images, the agent picks tiles in all of them; bits go in and come back: (image_id, bits, bits_equal, apart), ``apart`` pixels that differ after restoring."""
     from rasterlake.operators.study import raster
 
-    ones, dim = raster(spark, sf_dir)
+    ones, dim = raster(spark, sf_dir, "smooth")
     half = F.pmod(F.xxhash64("image_id"), F.lit(2)) == 0
     models = train(training_samples(ones.where(half), dim.where(half)), trees, depth)
     places = kept(safe_tiles(ones, dim, models), "agent-places")

@@ -118,7 +118,7 @@ def _reciprocal_distortion(image: np.ndarray, stego: np.ndarray) -> float:
 
 
 def context_runs(ones: DataFrame, dim: DataFrame, payload_bits: int = 64, divisors: tuple[int, ...] = tuple(range(1, 11))) -> DataFrame:
-    """A row for each image and divisor: whether the method is available (it holds the payload and gives message and raster back exactly), changed pixels, marks, wire bits, drd.
+    """A row for each image and divisor: whether the method is available (it holds the payload and gives message and raster back exactly), changed pixels, marks, wire bits, drd, and a digest of what was read and put back.
 
     Embedding chooses its patterns before an edit and extraction after it, so that a read can fail; failures are data, never assumed away. A task gets one image as packed
     rows of bits, as the scan can't be divided.
@@ -133,7 +133,7 @@ def context_runs(ones: DataFrame, dim: DataFrame, payload_bits: int = 64, diviso
             if cs is not None:
                 image[int(r), cs] = 1
         payload = [((i * 1103515245 + 12345) // 65536) % 2 for i in range(payload_bits)]
-        row = {"image_id": part["image_id"].iloc[0], "divisor": divisor, "available": False, "changed": None, "marks": None, "wire_bits": None, "drd": None, "error": None}
+        row = {"image_id": part["image_id"].iloc[0], "divisor": divisor, "available": False, "changed": None, "marks": None, "wire_bits": None, "drd": None, "message": None, "ones": None, "checksum": None, "error": None}
         try:
             if w < 4:
                 raise ValueError("too narrow")
@@ -144,20 +144,24 @@ def context_runs(ones: DataFrame, dim: DataFrame, payload_bits: int = 64, diviso
             code = codecs.encode_context(marks, (h, w), divisor, end, len(payload))
             sent, _, _, end, _ = codecs.decode_context(code)
             back = context.difference(stego)
-            if context.extract(back, sent, end, length) != payload or (context.undifference(back) != image).any():
+            message = context.extract(back, sent, end, length)
+            again = context.undifference(back)
+            if message != payload or (again != image).any():
                 raise ValueError("not exact")
+            set_ = np.argwhere(again)
+            row |= {"message": sum(b * (i % 97 + 1) for i, b in enumerate(message)), "ones": len(set_), "checksum": int((set_ @ (7, 1)).sum())}
             row |= {"available": True, "changed": int((stego != image).sum()), "marks": len(marks), "wire_bits": 8 * len(code), "drd": round(_reciprocal_distortion(image, stego), 9)}
         except ValueError as error:
             row["error"] = str(error)
-        return pd.DataFrame([row]).astype({"changed": "Int64", "marks": "Int64", "wire_bits": "Int64", "drd": "Float64"})
+        return pd.DataFrame([row]).astype({**dict.fromkeys(("changed", "marks", "wire_bits", "message", "ones", "checksum"), "Int64"), "drd": "Float64"})
 
-    return lines.groupBy("image_id", "divisor").applyInPandas(scan, "image_id string, divisor int, available boolean, changed long, marks long, wire_bits long, drd double, error string")
+    return lines.groupBy("image_id", "divisor").applyInPandas(scan, "image_id string, divisor int, available boolean, changed long, marks long, wire_bits long, drd double, message long, ones long, checksum long, error string")
 
 
 def context_best(runs: DataFrame) -> DataFrame:
     """The exact run of least distortion for each image, the smallest divisor of equals; images without one are unavailable."""
-    best = F.min_by(F.struct("divisor", "changed", "wire_bits", "drd"), F.when(F.col("available"), F.struct("drd", "divisor")))
-    return runs.groupBy("image_id").agg(F.bool_or("available").alias("available"), best.alias("b"), F.min("error").alias("error")).select("image_id", "available", "b.divisor", "b.changed", "b.wire_bits", "b.drd", "error")
+    best = F.min_by(F.struct("divisor", "changed", "wire_bits", "drd", "message", "ones", "checksum"), F.when(F.col("available"), F.struct("drd", "divisor")))
+    return runs.groupBy("image_id").agg(F.bool_or("available").alias("available"), best.alias("b"), F.min("error").alias("error")).select("image_id", "available", "b.divisor", "b.changed", "b.wire_bits", "b.drd", "b.message", "b.ones", "b.checksum", "error")
 
 
 # All methods
@@ -339,6 +343,7 @@ PAYLOADS = {
     "restored_single_peak": ("embeddings", "SELECT d.image_id, CAST(least(64, coalesce(b.n * b.bits, 0)) AS BIGINT) AS bits FROM dim d LEFT JOIN hn_bits b ON b.image_id = d.image_id"),
     "restored_adaptive": ("lineitem", "SELECT image_id, CAST(16 AS BIGINT) AS bits FROM dim"),
     "restored_pair": ("embeddings", "SELECT image_id, CAST(least(64, capacity) AS BIGINT) AS bits FROM selected"),
+    "restored_uniform_smooth": ("smooth", "SELECT image_id, count(*) AS bits FROM best_flip WHERE round(cost, 9) <= 0.7 GROUP BY image_id"),
     "restored_uniform": ("embeddings", "SELECT image_id, count(*) AS bits FROM best_flip WHERE round(cost, 9) <= 0.7 GROUP BY image_id"),
 }
 
@@ -347,7 +352,7 @@ def q_restored(method: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embed, read the marked raster with nothing but the side information, put it back; a digest of message and raster."""
     fixture, select = PAYLOADS[method]
     ones, dim = raster(spark, sf_dir, fixture)
-    if method == "restored_uniform":
+    if method.startswith("restored_uniform"):
         return q_uniform(ones, dim)
     payload = kept(steps.run(spark, select, ones=ones, dim=dim), "payload")
     if method == "restored_pair":
@@ -400,13 +405,18 @@ def q_adaptive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_context_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context_runs(*raster(spark, sf_dir))
+    return context_runs(*raster(spark, sf_dir, "smooth"))
 
 
 def q_context_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_best(q_context_runs(spark, sf_dir))
 
 
+def q_restored_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of each image's best run."""
+    return q_context_best(spark, sf_dir).select("image_id", F.lit(64).cast("long").alias("bits"), "message", "ones", "checksum")
+
+
 def q_method_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return method_runs(*raster(spark, sf_dir))
 
@@ -435,7 +445,7 @@ def q_alpha_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     **{name: partial(q_restored, name) for name in PAYLOADS},
-    "adaptive_roundtrip": q_adaptive_roundtrip, "uniform_layer": q_uniform_layer, "dong_run": q_context_runs, "dong_best": q_context_best, "method_runs": q_method_runs, "method_run_summary": q_method_run_summary,
+    "adaptive_roundtrip": q_adaptive_roundtrip, "uniform_layer": q_uniform_layer, "dong_run": q_context_runs, "dong_best": q_context_best, "restored_context": q_restored_context, "method_runs": q_method_runs, "method_run_summary": q_method_run_summary,
     "grouped_cv": q_grouped_cv, "alpha_search": q_alpha_search, "agent_layer": agent.q_agent_layer,
 }
 
@@ -447,7 +457,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """What round trips must return, from the message's formula and the raster itself: no embedding happens in this SQL."""
     out = {}
-    for name, (fixture, payload) in PAYLOADS.items():
+    for name, (fixture, payload) in {**PAYLOADS, "restored_context": ("smooth", "SELECT image_id, CAST(64 AS BIGINT) AS bits FROM dim")}.items():
         text = f"""SELECT p.image_id, CAST(p.bits AS BIGINT) AS bits, CAST(coalesce(m.s, 0) AS BIGINT) AS message, CAST(coalesce(o.n, 0) AS BIGINT) AS ones, CAST(coalesce(o.s, 0) AS BIGINT) AS checksum FROM ({payload}) p
             LEFT JOIN (SELECT q.image_id, sum(({steps.BIT.format(i='i')}) * (i % 97 + 1)) AS s FROM ({payload}) q EACH(CAST(q.bits AS INT), i) GROUP BY q.image_id) m ON m.image_id = p.image_id
             LEFT JOIN (SELECT image_id, count(*) AS n, sum(r * 7 + c) AS s FROM ones GROUP BY image_id) o ON o.image_id = p.image_id"""

@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterlake.operators import custom, placement, study
+from rasterlake.operators import custom, layers, placement, study
 from rasterlake.plans import steps
 from rasterlake.plans.definitions import DEFINITIONS
 
@@ -122,8 +122,8 @@ def _run(select: tuple[str, str], spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: partial(_run, select) for name, select in SELECTS.items()} | custom.queries() | study.queries() | placement.queries()
+    return {name: partial(_run, select) for name, select in SELECTS.items()} | custom.queries() | study.queries() | placement.queries() | layers.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: steps.sql(text, fixture, "other") for name, (fixture, text) in SELECTS.items()} | study.oracle_sql() | DEFINITIONS
+    return {name: steps.sql(text, fixture, "other") for name, (fixture, text) in SELECTS.items()} | study.oracle_sql() | layers.oracle_sql() | DEFINITIONS
