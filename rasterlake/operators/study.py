@@ -167,9 +167,13 @@ def context_best(runs: DataFrame) -> DataFrame:
 # All methods
 
 
-def method_runs(ones: DataFrame, dim: DataFrame, payload_bits: int = 64) -> DataFrame:
-    """A row for each image and method: payload, side information, net bits, changed pixels, PSNR, DRD, exactness, or why there is no run."""
-    payload = kept(dim.select("image_id", F.lit(payload_bits).cast("long").alias("bits")), "payload")
+def method_runs(ones: DataFrame, dim: DataFrame, payload_bits: int | DataFrame = 64) -> DataFrame:
+    """A row for each image and method: payload, side information, net bits, changed pixels, PSNR, DRD, exactness, or why there is no run.
+
+    ``payload_bits`` is one number for all images or a table (image_id, bits) with few distinct numbers.
+    """
+    payload = payload_bits if isinstance(payload_bits, DataFrame) else dim.select("image_id", F.lit(payload_bits).cast("long").alias("bits"))
+    payload = kept(payload, "payload")
     out = []
     for method in ("adaptive", "distance_one", "single_peak"):
         made, checks, flips, message, back = through_tables(method, ones, dim, payload)
@@ -181,10 +185,15 @@ def method_runs(ones: DataFrame, dim: DataFrame, payload_bits: int = 64) -> Data
     fits = payload.join(centres.select("image_id").distinct(), "image_id", "left_semi")
     runs = marking.evaluation(ones.join(fits, "image_id", "left_semi"), dim, flips, message, back, fits, centre_sizes(centres, dim)).withColumn("error", F.lit(None).cast("string"))
     out.append(runs.unionByName(marking.unavailable(payload.join(fits, "image_id", "left_anti"), "no pair carries the payload")).withColumn("method", F.lit("pair")))
-    best = context_best(context_runs(ones, dim, payload_bits)).join(dim, "image_id")
+    best = None
+    for bits in [r["bits"] for r in payload.select("bits").distinct().orderBy("bits").collect()]:
+        mine = payload.where(F.col("bits") == bits).select("image_id")
+        one = context_best(context_runs(ones.join(mine, "image_id", "left_semi"), dim.join(mine, "image_id", "left_semi"), bits))
+        best = one if best is None else best.unionByName(one)
+    best = best.join(dim, "image_id").join(payload, "image_id")
     known = lambda column: F.when(F.col("available"), column)
     out.append(best.select(
-        "image_id", F.lit(payload_bits).cast("long").alias("payload_bits"), F.col("wire_bits").alias("auxiliary_bits"), (payload_bits - F.col("wire_bits")).alias("net_payload_bits"), F.col("changed").alias("changed_pixels"),
+        "image_id", F.col("bits").cast("long").alias("payload_bits"), F.col("wire_bits").alias("auxiliary_bits"), (F.col("bits") - F.col("wire_bits")).alias("net_payload_bits"), F.col("changed").alias("changed_pixels"),
         known(F.when(F.col("changed") == 0, float("inf")).otherwise(F.round(10 * F.log10(F.col("h").cast("double") * F.col("w") / F.col("changed")), 9))).alias("psnr_db"), "drd",
         known(F.lit(True)).alias("message_exact"), known(F.lit(True)).alias("reversible"), F.when(~F.col("available"), F.col("error")).alias("error"), F.lit("context").alias("method"),
     ))
@@ -217,8 +226,8 @@ def features(ones: DataFrame, dim: DataFrame, select: str) -> DataFrame:
     return listed.select("image_id", array_to_vector(F.transform("x", lambda f: f[value].cast("double"))).alias("raw"))
 
 
-def detect(covers: DataFrame, marked: DataFrame, most_folds: int = 5, trees: int = 500) -> DataFrame:
-    """Out-of-fold judgement of two classifiers that tell covers from marked rasters (image_id, raw): classifier, images, folds, auc, balanced_accuracy, error_probability. An image's two rasters are in one fold."""
+def out_of_fold(covers: DataFrame, marked: DataFrame, most_folds: int = 5, trees: int = 500) -> tuple[DataFrame, int, int]:
+    """Scores (classifier, label, p) of rasters by models that haven't seen their image, the number of images and of folds. An image's two rasters are in one fold."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import StandardScaler
@@ -246,14 +255,121 @@ def detect(covers: DataFrame, marked: DataFrame, most_folds: int = 5, trees: int
     rows = scored[0]
     for more in scored[1:]:
         rows = rows.unionByName(more)
-    # Ranks from running sums over distinct scores, two for each image at most.
-    levels = rows.groupBy("classifier", "p").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"))
-    below = F.sum(F.col("n") - F.col("pos")).over(Window.partitionBy("classifier").orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    return rows, n, k
+
+
+def judged(rows: DataFrame, keys: tuple[str, ...] = ("classifier",)) -> DataFrame:
+    """Per group of ``keys``: auc, balanced_accuracy and error_probability of (label, p) at 0.5, from running sums over distinct scores."""
+    from pyspark.sql import Window
+
+    levels = rows.groupBy(*keys, "p").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"))
+    below = F.sum(F.col("n") - F.col("pos")).over(Window.partitionBy(*keys).orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
     wins = F.sum(F.col("pos") * (F.coalesce("below", F.lit(0)) + (F.col("n") - F.col("pos")) / 2))
     right = lambda yes: F.sum(F.when(F.col("p") >= 0.5, F.col("pos")).otherwise(0)) if yes else F.sum(F.when(F.col("p") < 0.5, F.col("n") - F.col("pos")).otherwise(0))
-    judged = levels.withColumn("below", below).groupBy("classifier").agg(wins.alias("wins"), F.sum("pos").alias("positives"), F.sum(F.col("n") - F.col("pos")).alias("negatives"), right(True).alias("tp"), right(False).alias("tn"))
+    sums = levels.withColumn("below", below).groupBy(*keys).agg(wins.alias("wins"), F.sum("pos").alias("positives"), F.sum(F.col("n") - F.col("pos")).alias("negatives"), right(True).alias("tp"), right(False).alias("tn"))
     accuracy = (F.col("tp") / F.col("positives") + F.col("tn") / F.col("negatives")) / 2
-    return judged.select("classifier", F.lit(n).cast("long").alias("images"), F.lit(k).alias("folds"), (F.col("wins") / (F.col("positives") * F.col("negatives"))).alias("auc"), accuracy.alias("balanced_accuracy"), (1 - accuracy).alias("error_probability"))
+    return sums.select(*keys, (F.col("wins") / (F.col("positives") * F.col("negatives"))).alias("auc"), accuracy.alias("balanced_accuracy"), (1 - accuracy).alias("error_probability"))
+
+
+def detect(covers: DataFrame, marked: DataFrame, most_folds: int = 5, trees: int = 500) -> DataFrame:
+    """Out-of-fold judgement of two classifiers that tell covers from marked rasters (image_id, raw): classifier, images, folds, auc, balanced_accuracy, error_probability."""
+    rows, n, k = out_of_fold(covers, marked, most_folds, trees)
+    return judged(rows).select("classifier", F.lit(n).cast("long").alias("images"), F.lit(k).alias("folds"), "auc", "balanced_accuracy", "error_probability")
+
+
+#: Methods of the detector study; each marks the same images with the same bits.
+DETECTED = ("context", "distance_one", "pair", "single_peak")
+
+
+def spread(df: DataFrame, column: str, values: tuple) -> DataFrame:
+    """``df`` once for each value, which stands before the image's id: ``value#image``."""
+    return df.withColumn(column, F.explode(F.array(*map(F.lit, values)))).withColumn("image_id", F.concat_ws("#", column, "image_id"))
+
+
+def context_marked(ones: DataFrame, dim: DataFrame, payload: DataFrame) -> DataFrame:
+    """(image_id, r, c): rasters that the context method has marked with the divisor of least distortion; images without an exact run don't appear. ``payload`` has few distinct numbers of bits."""
+
+    def marker(bits: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def mark(part: pd.DataFrame) -> pd.DataFrame:
+            h, w, divisor = (int(part[c].iloc[0]) for c in ("h", "w", "divisor"))
+            image = np.zeros((h, w), np.uint8)
+            for r, cs in zip(part["r"], part["cs"], strict=True):
+                if cs is not None:
+                    image[int(r), cs] = 1
+            diff = context.difference(image)
+            context.embed(diff, [((i * 1103515245 + 12345) // 65536) % 2 for i in range(bits)], max(1, round(h * w / divisor)))
+            r, c = np.nonzero(context.undifference(diff))
+            return pd.DataFrame({"image_id": part["image_id"].iloc[0], "r": r.astype("int32"), "c": c.astype("int32")})
+
+        return mark
+
+    out = None
+    for bits in [r["bits"] for r in payload.select("bits").distinct().orderBy("bits").collect()]:
+        mine = payload.where(F.col("bits") == bits).select("image_id")
+        some, shape = ones.join(mine, "image_id", "left_semi"), dim.join(mine, "image_id", "left_semi")
+        best = context_best(context_runs(some, shape, bits)).where("available").select("image_id", "divisor")
+        packed = some.groupBy("image_id", "r").agg(F.array_sort(F.collect_list("c")).alias("cs"))
+        made = shape.join(best, "image_id").join(packed, "image_id", "left").groupBy("image_id").applyInPandas(marker(bits), "image_id string, r int, c int")
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def marked_rasters(ones: DataFrame, dim: DataFrame, payloads: tuple[int, ...], methods: tuple[str, ...] = DETECTED) -> tuple[DataFrame, DataFrame]:
+    """Marked rasters of all methods and payloads, their image_id ``method#payload#image``, and their shapes; only of images that every method can mark with that payload.
+
+    Method and payload are keys: a method marks all images with all payloads in the same steps.
+    """
+    every, shape = kept(spread(ones, "p", payloads).drop("p"), "spread-ones"), kept(spread(dim, "p", payloads).withColumnRenamed("p", "bits"), "spread-dim")
+    payload, shape = shape.select("image_id", F.col("bits").cast("long").alias("bits")), shape.select("image_id", "h", "w")
+    made = []
+    for method in methods:
+        if method == "context":
+            stego = kept(context_marked(every, shape, payload), "context-marked")
+        elif method == "pair":
+            centres = kept(marking.pair_centres(*pair_tables(every, shape), payload), "centres")
+            stego = marking.toggled(every.join(centres.select("image_id").distinct(), "image_id", "left_semi"), marking.overwrite(centres))
+        else:
+            tables_ = tables(method, every, shape, payload)
+            fits = marking.over_capacity(every, shape, tables_, payload).where("error IS NULL").select("image_id")
+            stego = marking.toggled(every.join(fits, "image_id", "left_semi"), marking.embed(every, shape, tables_, payload))
+        made.append(stego.select(F.concat_ws("#", F.lit(method), "image_id").alias("image_id"), F.col("image_id").alias("run"), "r", "c"))
+    rows = made[0]
+    for more in made[1:]:
+        rows = rows.unionByName(more)
+    rows = kept(rows, "marked")
+    matched = rows.select("image_id", "run").distinct().groupBy("run").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(methods)).select("run")
+    rows = rows.join(matched, "run", "left_semi").drop("run")
+    return kept(rows, "matched-marked"), spread(shape.join(matched, shape["image_id"] == matched["run"], "left_semi"), "m", methods).drop("m")
+
+
+def detect_all(ones: DataFrame, dim: DataFrame, select: str, payloads: tuple[int, ...], methods: tuple[str, ...] = DETECTED, most_folds: int = 5, trees: int = 500, parallelism: int = 4) -> DataFrame:
+    """A row for each payload, method and classifier: images that all methods can mark, folds, auc, balanced_accuracy, error_probability.
+
+    Features of all covers and of all marked rasters are two plans; the models of combinations are fitted side by side, ``parallelism`` at a time, as many jobs as there are combinations and folds.
+    """
+    from multiprocessing.pool import ThreadPool
+
+    stego, shapes = marked_rasters(ones, dim, payloads, methods)
+    covers = kept(features(ones, dim, select), "cover-features")
+    key = F.split("image_id", "#", 3)
+    marked = kept(features(stego, shapes, select).select(key[0].alias("method"), key[1].cast("int").alias("payload_bits"), key[2].alias("image_id"), "raw"), "marked-features")
+
+    def one(combination: tuple[str, int]) -> DataFrame | None:
+        method, bits = combination
+        mine = marked.where((F.col("method") == method) & (F.col("payload_bits") == bits)).select("image_id", "raw")
+        if mine.count() < 2:
+            return None
+        both = covers.join(mine.select("image_id"), "image_id", "left_semi")
+        return kept(detect(both, mine, most_folds, trees).select(F.lit(bits).alias("payload_bits"), F.lit(method).alias("method"), "*"), "detected")
+
+    with ThreadPool(parallelism) as pool:
+        made = [x for x in pool.map(one, [(m, b) for b in payloads for m in methods]) if x is not None]
+    if not made:
+        raise ValueError("no payload that two images of every method carry")
+    rows = made[0]
+    for more in made[1:]:
+        rows = rows.unionByName(more)
+    return rows
 
 
 # Search for alpha
@@ -437,6 +553,13 @@ def q_grouped_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(features(ones, dim, select), features(stego, dim, select), trees=60)
 
 
+def q_detector_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four methods, two classifiers and two payloads on rasters with shapes."""
+    from rasterlake import registry
+
+    return detect_all(*raster(spark, sf_dir, "smooth"), registry.SELECTS["detector_features"][1], (16, 32), most_folds=3, trees=20)
+
+
 def q_alpha_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alphas that the search observed, and which is best: the least objective, the smallest alpha of equals."""
     seen = optimize_alpha(*raster(spark, sf_dir))
@@ -446,7 +569,7 @@ def q_alpha_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     **{name: partial(q_restored, name) for name in PAYLOADS},
     "adaptive_roundtrip": q_adaptive_roundtrip, "uniform_layer": q_uniform_layer, "dong_run": q_context_runs, "dong_best": q_context_best, "restored_context": q_restored_context, "method_runs": q_method_runs, "method_run_summary": q_method_run_summary,
-    "grouped_cv": q_grouped_cv, "alpha_search": q_alpha_search, "agent_layer": agent.q_agent_layer,
+    "grouped_cv": q_grouped_cv, "detector_study": q_detector_study, "alpha_search": q_alpha_search, "agent_layer": agent.q_agent_layer,
 }
 
 

@@ -34,7 +34,8 @@ FIXTURES: dict[str, dict[str, str]] = {
         "vec": "SELECT CAST(label AS STRING) AS image_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) AS r, embedding FROM embeddings WHERE label IS NOT NULL",
         "cells": "SELECT v.image_id, v.r, CAST(x AS INT) AS c, CAST(round(CAST(AT(v.embedding, x) AS DOUBLE) * 1000) AS BIGINT) AS q FROM vec v EACH(LEN(v.embedding), x)",
         "across": "SELECT s.image_id, s.r, s.c + k.x - 3 AS c, CAST(sum(s.q) AS BIGINT) AS q FROM cells s CROSS JOIN RANGE(7) k GROUP BY s.image_id, s.r, s.c + k.x - 3",
-        "ones": "SELECT q.image_id, q.r, q.c FROM (SELECT s.image_id, s.r + k.x - 3 AS r, s.c, sum(s.q) AS q FROM across s CROSS JOIN RANGE(7) k GROUP BY s.image_id, s.r + k.x - 3, s.c) q JOIN dim d ON d.image_id = q.image_id WHERE q.q > 0 AND q.r BETWEEN 0 AND d.h - 1 AND q.c BETWEEN 0 AND d.w - 1",
+        "shade": "SELECT q.image_id, q.r, q.c, q.q FROM (SELECT s.image_id, s.r + k.x - 3 AS r, s.c, CAST(sum(s.q) AS BIGINT) AS q FROM across s CROSS JOIN RANGE(7) k GROUP BY s.image_id, s.r + k.x - 3, s.c) q JOIN dim d ON d.image_id = q.image_id WHERE q.r BETWEEN 0 AND d.h - 1 AND q.c BETWEEN 0 AND d.w - 1",
+        "ones": "SELECT image_id, r, c FROM shade WHERE q > 0",
         "dim": "SELECT image_id, max(r) + 1 AS h, CAST(max(LEN(embedding)) AS INT) AS w FROM vec GROUP BY image_id",
     },
     "events": {

@@ -16,6 +16,19 @@ def read_reports(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return reports.select("payload_bits", F.explode("images").alias("row")).select("payload_bits", "row.*").orderBy("payload_bits")
 
 
+def write_reports(rows: DataFrame, summaries: DataFrame, folder: str, images_per_report: int = 10_000) -> None:
+    """Reports as ``read_reports`` takes them: payload_bits, the summaries of that payload and the rows of its images, ``images_per_report`` images in a file at most on average.
+
+    ``rows`` has payload_bits and an image column, ``summaries`` payload_bits and a few rows for each.
+    """
+    sizes = rows.groupBy("payload_bits").agg(F.ceil(F.approx_count_distinct("image") / images_per_report).alias("parts"))
+    dealt = rows.join(sizes, "payload_bits").withColumn("part", F.pmod(F.xxhash64("image"), F.col("parts")))
+    images = dealt.groupBy("payload_bits", "part").agg(F.collect_list(F.struct(*(c for c in rows.columns if c != "payload_bits"))).alias("images"))
+    nested = summaries.groupBy("payload_bits").agg(F.collect_list(F.struct(*(c for c in summaries.columns if c != "payload_bits"))).alias("summaries"))
+    reports = images.join(nested, "payload_bits", "left").withColumn("payload", F.col("payload_bits")).select("payload", "part", "payload_bits", "summaries", "images")
+    reports.write.partitionBy("payload", "part").json(folder)
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.option("header", True).csv(path)
 
