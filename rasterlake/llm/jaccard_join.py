@@ -391,8 +391,8 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, small: int = 16, blo
         reach = opened.groupBy("doc", "doc_head", "n").agg(F.count_distinct("key").alias("k")).join(partner, "doc", "left").groupBy("doc_head", "n").agg(F.max(F.col("k") + F.coalesce("most", F.lit(0))).alias("k"))
         able = reach.where(F.col("k") >= needed).select("doc_head")
         member = written(opened.join(able, "doc_head", "left_semi").select("cluster", F.col("doc_head").alias("doc"), "label", "n").distinct(), "open-clusters")
-        # What small regions add: the most shingles shared with a document of another component that hasn't been verified yet.
-        head_label = written(opened.select("doc", "doc_head", "label").distinct(), "open-documents")
+        # What small regions add: the most shingles shared with a document of another component that hasn't been verified yet. A document that isn't able links with none, so it's no partner either.
+        head_label = written(opened.join(able, "doc_head", "left_semi").select("doc", "doc_head", "label").distinct(), "open-documents")
         apart = among(among(found.select("a", "b", "shared"), "a", head_label), "b", head_label)
         for c in ("a", "b"):
             apart = apart.join(head_label.select(F.col("doc").alias(c), F.col("doc_head").alias(f"{c}_head"), F.col("label").alias(f"{c}_label")), c)
