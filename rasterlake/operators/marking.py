@@ -70,12 +70,17 @@ def changed_pixels(rows: DataFrame, one: str, other: str) -> DataFrame:
     return each.where(bit(one) != bit(other)).select("image_id", (F.col("br") * 3 + F.floor(F.col("b") / 3)).cast("int").alias("r"), (F.col("bc") * 3 + F.col("b") % 3).cast("int").alias("c"), bit(one).cast("int").alias("was"))
 
 
+def started(payload: DataFrame) -> DataFrame:
+    """``payload`` with ``first``, the place in the portable message at which an image's bits begin: 0 unless given."""
+    return payload if "first" in payload.columns else payload.withColumn("first", F.lit(0).cast("long"))
+
+
 def embed(ones: DataFrame, dim: DataFrame, tables: DataFrame, payload: DataFrame) -> DataFrame:
     """Pixels that embedding inverts (image_id, r, c, was). Blocks in raster order take the next bits, the last one zeros behind the payload; images over capacity take none."""
-    fits = over_capacity(ones, dim, tables, payload).where("error IS NULL").select("image_id", "bits")
+    fits = over_capacity(ones, dim, tables, started(payload)).where("error IS NULL").select("image_id", "bits", "first")
     carriers = tiles(ones, dim).join(widths(tables).withColumnRenamed("peak", "pat"), ["image_id", "pat"]).join(fits, "image_id")
     placed = offsets(carriers, "k").where("at < bits")
-    symbol = F.aggregate(F.sequence(F.lit(0), F.col("k") - 1), F.lit(0), lambda acc, j: acc * 2 + F.when(F.col("at") + j < F.col("bits"), bit_at(F.col("at") + j)).otherwise(0))
+    symbol = F.aggregate(F.sequence(F.lit(0), F.col("k") - 1), F.lit(0), lambda acc, j: acc * 2 + F.when(F.col("at") + j < F.col("bits"), bit_at(F.col("first") + F.col("at") + j)).otherwise(0))
     chosen = placed.withColumn("symbol", symbol).withColumnRenamed("pat", "peak").join(tables.select("image_id", "peak", "symbol", "pattern"), ["image_id", "peak", "symbol"])
     return changed_pixels(chosen, "peak", "pattern")
 
@@ -151,7 +156,8 @@ def evaluation(ones: DataFrame, dim: DataFrame, flips: DataFrame, message: DataF
     spark = ones.sparkSession
     drd = steps.run(spark, "SELECT d.image_id, coalesce(f.cost, 0.0) / greatest(coalesce(m.n, 0), 1) AS drd FROM dim d LEFT JOIN (SELECT image_id, sum(cost) AS cost FROM flip_costs GROUP BY image_id) f ON f.image_id = d.image_id LEFT JOIN mixed8 m ON m.image_id = d.image_id", ones=ones, dim=dim, flips=flips)
     changed = flips.groupBy("image_id").agg(F.count(F.lit(1)).alias("changed"))
-    equal = message.groupBy("image_id").agg(F.count(F.lit(1)).alias("read"), F.sum((F.col("bit") == bit_at(F.col("i"))).cast("long")).alias("equal"))
+    said = message.join(started(payload).select("image_id", "first"), "image_id")
+    equal = said.groupBy("image_id").agg(F.count(F.lit(1)).alias("read"), F.sum((F.col("bit") == bit_at(F.col("first") + F.col("i"))).cast("long")).alias("equal"))
     apart = toggled(ones, back).groupBy("image_id").agg(F.count(F.lit(1)).alias("apart"))
     rows = payload.join(dim, "image_id").join(wire_bits, "image_id").join(drd, "image_id")
     for part in (changed, equal, apart):

@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterlake.operators import analysis, custom, layers, placement, study
+from rasterlake.operators import analysis, custom, layers, placement, study, sweeps
 from rasterlake.plans import steps
 from rasterlake.plans.definitions import DEFINITIONS
 
@@ -122,7 +122,7 @@ def _run(select: tuple[str, str], spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: partial(_run, select) for name, select in SELECTS.items()} | custom.queries() | study.queries() | placement.queries() | layers.queries() | analysis.queries()
+    return {name: partial(_run, select) for name, select in SELECTS.items()} | custom.queries() | study.queries() | placement.queries() | layers.queries() | analysis.queries() | sweeps.queries()
 
 
 def oracle_sql() -> dict[str, str]:
