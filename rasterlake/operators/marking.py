@@ -85,9 +85,38 @@ def embed(ones: DataFrame, dim: DataFrame, tables: DataFrame, payload: DataFrame
     return changed_pixels(chosen, "peak", "pattern")
 
 
+def inverted(tables: DataFrame) -> DataFrame:
+    """(image_id, pat, peak, symbol): what each pattern of an image stands for; an error if it stands for two things."""
+    only = tables.groupBy("image_id", F.col("pattern").alias("pat")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("peak", "symbol")).alias("s"))
+    sure = F.when(F.col("n") == 1, F.col("s")).otherwise(F.raise_error(F.concat(F.lit("tables aren't injective: pattern "), "pat", F.lit(" of image "), "image_id", F.lit(" stands twice"))).cast("struct<peak:int,symbol:int>"))
+    return only.withColumn("s", sure).select("image_id", "pat", "s.peak", "s.symbol")
+
+
+def pattern_pixels(pattern: Column) -> Column:
+    """The nine pixels of a pattern, in raster order, as an array; an error outside 0 .. 511."""
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda b: F.getbit(pattern, 8 - b).cast("int"))
+    return F.when(pattern.between(0, 511), pixels).otherwise(F.raise_error(F.concat(F.lit("not a 3x3 pattern: "), pattern)).cast("array<int>"))
+
+
+def complete(message: DataFrame, payload: DataFrame) -> DataFrame:
+    """``message`` (image_id, i, bit) as one row per image of ``payload``: image_id and its bits in order; an error where bits are missing or too many. Up to some thousand bits an image."""
+    said = message.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("i", "bit"))).alias("m"))
+    rows = payload.join(said, "image_id", "left").withColumn("m", F.coalesce("m", F.array().cast("array<struct<i:bigint,bit:int>>")))
+    short = F.raise_error(F.concat(F.lit("image "), "image_id", F.lit(" gave "), F.size("m"), F.lit(" bits of "), "bits"))
+    return rows.select("image_id", F.when(F.size("m") == F.col("bits"), F.transform("m", lambda x: x["bit"])).otherwise(short.cast("array<int>")).alias("message"))
+
+
+def same_shape(one: DataFrame, other: DataFrame) -> DataFrame:
+    """``one`` (image_id, h, w), checked against the shapes that side information names: an error where they differ; images that ``other`` doesn't have stay as they are."""
+    rows = one.join(other.select("image_id", F.col("h").alias("h2"), F.col("w").alias("w2")), "image_id", "left")
+    wrong = F.raise_error(F.concat(F.lit("image "), "image_id", F.lit(" has another shape than its side information"))).cast("int")
+    fits = F.col("h2").isNull() | ((F.col("h") == F.col("h2")) & (F.col("w") == F.col("w2")))
+    return rows.select("image_id", F.when(fits, F.col("h")).otherwise(wrong).alias("h"), "w")
+
+
 def read(stego: DataFrame, dim: DataFrame, tables: DataFrame, payload: DataFrame) -> DataFrame:
-    """Blocks of the marked raster that carry the payload: (image_id, br, bc, pattern, peak, symbol, k, at, bits). Reads no other pixels than ``stego``."""
-    inverse = tables.select("image_id", F.col("pattern").alias("pat"), "peak", "symbol").join(widths(tables), ["image_id", "peak"])
+    """Blocks of the marked raster that carry the payload: (image_id, br, bc, pattern, peak, symbol, k, at, bits). Reads no other pixels than ``stego``; tables in which a pattern stands twice are an error."""
+    inverse = inverted(tables).join(widths(tables), ["image_id", "peak"])
     marked = tiles(stego, dim, tables.where("pattern = 0")).join(inverse, ["image_id", "pat"]).join(payload, "image_id")
     return offsets(marked, "k").where("at < bits").withColumnRenamed("pat", "pattern")
 

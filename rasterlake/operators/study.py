@@ -426,9 +426,10 @@ def evaluate_alphas(ones: DataFrame, dim: DataFrame, alphas: list[float], payloa
 def optimize_alpha(ones: DataFrame, dim: DataFrame, payload_bits: int = 32, initial: tuple[float, ...] = (0.0, 0.5, 1.0), iterations: int = 3, grid: int = 151) -> list[tuple[float, float]]:
     """Observations (alpha, objective), best last: each round observes the grid point of largest expected improvement that hasn't been observed."""
     points = np.linspace(0, 1, grid)
-    first = [r["capacity"] for r in evaluate_alphas(ones, dim, list(initial), payload_bits, 1.0).collect()]
-    scale = max(*first, 1.0)
-    observed = {r["alpha"]: r["objective"] for r in evaluate_alphas(ones, dim, list(initial), payload_bits, scale).collect()}
+    # The scale of capacities is that of the initial points, so their objectives follow from one evaluation.
+    first = evaluate_alphas(ones, dim, list(initial), payload_bits, 1.0).collect()
+    scale = max(1.0, *(r["capacity"] for r in first))
+    observed = {r["alpha"]: 0.5 * (1 - r["capacity"] / scale) + 0.5 * r["drd"] for r in first}
     for _ in range(iterations):
         x, y = np.array(list(observed)), np.array(list(observed.values()))
         mean, std = _smooth(x, y, points)
