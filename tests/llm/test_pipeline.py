@@ -65,3 +65,20 @@ def test_run_equals_the_plain_version(spark, frame, tmp_path):
 def test_run_on_an_empty_table(spark, frame, tmp_path):
     frame.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_passages_are_cut_though_the_first_and_last_with_their_run_do_not_have_them(spark):
+    rng = np.random.default_rng(31)
+
+    def w(n):
+        return [f"s{k}" for k in rng.integers(0, 10**7, n)]
+
+    source = w(56)
+    near = [*source[:27], "near", *source[28:]]
+    half = [source[:27], source[28:]]
+    rows = [(n if n < 60 else 900 + n, " ".join(w(30) + half[n % 2] + w(30))) for n in range(120)]
+    rows += [(500, " ".join(w(30) + source + w(30))), (5000, " ".join(["a", *w(29), *near, *w(30)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    assert len(kept) == 122 and len(kept[5000].split()) == 60 and "near" not in kept[5000].split()
+    assert all(kept[i] == t for i, t in rows if i != 5000)
