@@ -7,6 +7,7 @@ import zlib
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, shard long, rows string, key long, a long, b long, n int, label int, cuts string, kept boolean"
@@ -67,6 +68,32 @@ def test_run_on_an_empty_table(spark, frame, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_workers_give_back_what_a_stage_has_used(spark):
+    def held(batches):
+        def used():
+            return next(int(x.split()[1]) // 1024 for x in open("/proc/self/status") if x.startswith("RssAnon"))
+
+        for batch in batches:
+            large = np.ones(30 << 17)  # once freed, the system's own rule keeps arrays up to its size
+            del large
+            before, kept, small = used(), [], []
+            for _ in range(40):
+                kept.append(np.ones(6 << 17))
+                small.append(bytes(5000))
+            most = used()
+            del kept
+            yield pa.RecordBatch.from_arrays([pa.array([most - before]), pa.array([used() - before])], ["most", "left"])
+
+    environment = dict(spark.sparkContext.environment)
+    try:
+        corpus_pipeline.lean_workers(spark)
+        row = spark.range(1, numPartitions=1).mapInArrow(held, "most long, left long").first()
+    finally:
+        spark.sparkContext.environment.clear()
+        spark.sparkContext.environment.update(environment)
+    assert row.most > 200 and row.left < 60
+
+
 def test_passages_are_cut_though_the_first_and_last_with_their_run_do_not_have_them(spark):
     rng = np.random.default_rng(31)
 
