@@ -66,18 +66,41 @@ def treaps(impact: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return left, right
 
 
-def shard_postings(raws: list[bytes], documents: int, occurrences: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def counted_parts(raws: list[bytes], part_bytes: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The terms of the texts, in order of their hashes; term, document and number of each pair, by term and document; each text's terms with repeats.
+
+    Some bytes of text at a time, so that arrays with an entry per occurrence stay small; what is kept has one per pair.
+    """
+    ends = np.cumsum([len(r) for r in raws])
+    cuts = [0, *(np.flatnonzero(np.diff(ends // part_bytes)) + 1).tolist(), len(raws)]
+    hashes, names, pairs, length = [], [], [], []
+    for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+        t = terms(raws[x:y], LETTERS_DIGITS)
+        first, term, doc, tf = counted(t, t.text)
+        hashes.append(t.hash[first])
+        names.append(t.strings(first))
+        pairs.append((term.astype(np.int32), (doc + x).astype(np.int32), tf.astype(np.int32)))
+        length.append(np.bincount(t.text, minlength=y - x))
+    known, first, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    base = np.append(0, np.cumsum([len(h) for h in hashes]))
+    term = np.concatenate([which[base[k] + p[0]].astype(np.int32) for k, p in enumerate(pairs)])
+    doc, tf = (np.concatenate([p[k] for p in pairs]) for k in (1, 2))
+    del pairs
+    order = np.argsort(term, kind="stable")  # parts are in the order of the documents
+    return pa.concat_arrays(names).take(pa.array(first)), term[order], doc[order], tf[order].astype(np.int64), np.concatenate(length)
+
+
+def shard_postings(raws: list[bytes], documents: int, occurrences: int, part_bytes: int = 2 << 20) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Of the texts of one shard: its terms, where each one's postings begin, and the postings of all, with children counted from that begin."""
-    t = terms(raws, LETTERS_DIGITS)
-    first, term, doc, tf = counted(t, t.text)
-    length = np.bincount(t.text, minlength=len(raws))
+    names, term, doc, tf, length = counted_parts(raws, part_bytes)
     m = np.array([10 + 90 * int(n) * documents // max(1, occurrences) for n in length], np.int64)
-    begin = np.searchsorted(term, np.arange(len(first)))
+    begin = np.searchsorted(term, np.arange(len(names)))
     rows = np.empty(len(term), POSTING)
     rows["doc"], rows["impact"] = doc, 1_000_000_000 * tf // (1000 * tf + 8 * m[doc])
+    del doc, tf
     for name, child in zip(("left", "right"), treaps(rows["impact"], begin), strict=True):
         rows[name] = np.where(child >= 0, child - begin[term], -1)
-    return t.strings(first), begin, rows
+    return names, begin, rows
 
 
 class Shard:

@@ -5,6 +5,7 @@ import hashlib
 import math
 import re
 import tempfile
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -208,3 +209,23 @@ def test_lookups_read_few_blocks(spark):
     name = warc.captures(files, folder).select("file").first()[0]
     fs, root = warc.opened(folder)
     assert gzip.decompress(fs.open_input_file(f"{root}/{name}").read()).startswith(b"WARC/1.1\r\nWARC-Type: ")
+
+
+def test_a_shard_is_counted_in_parts_and_takes_little_memory():
+    rng = np.random.default_rng(41)
+    words = [f"w{k}" if k % 3 else f"averylongterm{k}é" for k in range(30000)]
+    raws = [" ".join(words[k] for k in np.minimum(rng.zipf(1.3, rng.integers(0, 600)), 29999)).encode() for _ in range(2500)]
+    raws[7], raws[8] = b"", b"- -"
+    once, parts = (treap_search.counted_parts(raws, n) for n in (1 << 30, 1000))
+    assert once[0].equals(parts[0]) and all((x == y).all() for x, y in zip(once[1:], parts[1:], strict=True))
+    assert treap_search.shard_postings([b"", b"..", b""], 3, 1)[0].to_pylist() == []
+
+    def peak(count):
+        tracemalloc.start()
+        count()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    whole = peak(lambda: terms.counted(t := terms.terms(raws, terms.LETTERS_DIGITS), t.text))
+    assert peak(lambda: treap_search.shard_postings(raws, 2500, 10**6, 1 << 17)) < 0.8 * whole
