@@ -109,3 +109,16 @@ def test_passages_are_cut_though_the_first_and_last_with_their_run_do_not_have_t
     kept = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
     assert len(kept) == 122 and len(kept[5000].split()) == 60 and "near" not in kept[5000].split()
     assert all(kept[i] == t for i, t in rows if i != 5000)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_run_by_themselves_ask_for_workers_that_give_back(spark, frame, name):
+    environment = dict(spark.sparkContext.environment)
+    try:
+        for x in corpus_pipeline.WORKER_MEMORY:
+            spark.sparkContext.environment.pop(x, None)
+        dict(corpus_pipeline.STAGES)[name](spark, frame.limit(0), "")
+        assert corpus_pipeline.WORKER_MEMORY.items() <= spark.sparkContext.environment.items()
+    finally:
+        spark.sparkContext.environment.clear()
+        spark.sparkContext.environment.update(environment)
