@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 
+from rasterlake import registry
+from rasterlake.plans import steps
 from rasterlake.registry import queries
+from tests.test_oracle import SF, duck, rows  # noqa: F401
 
 
 def vectors(spark, folder, sizes: dict[int, int], width: int = 9, seed: int = 5) -> str:
@@ -21,3 +25,17 @@ def vectors(spark, folder, sizes: dict[int, int], width: int = 9, seed: int = 5)
 def test_cost_ranker_without_rows_to_learn_from(spark, tmp_path, sizes):
     got = queries()["cost_ranker"](spark, vectors(spark, tmp_path, sizes)).collect()
     assert len(got) == 1 and (got[0].rows > 0) == (sizes[8] > 2) and got[0].mae is None and got[0].pearson is None
+
+
+@pytest.mark.parametrize("name", ["bit_costs", "best_uniform_flip"])
+def test_pixels_meet_their_tile_and_not_all_tiles_of_the_image(spark, duck, name):
+    df = queries()[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"NestedLoopJoin.* = ", plan)
+    assert rows(df.toPandas()) == rows(duck.execute(registry.oracle_sql()[name]).df())
+
+
+def test_rows_of_pixels_are_dealt_out(spark):
+    """``dim`` has a row per image; what is made of it isn't left to the task that reads it."""
+    df = steps.run(spark, "SELECT * FROM px", SF, "embeddings")
+    assert df.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
