@@ -66,7 +66,9 @@ def load(folder: str) -> tuple[RandomForestClassificationModel, RandomForestClas
 def safe_tiles(ones: DataFrame, dim: DataFrame, models: tuple, threshold: float = 0.7) -> DataFrame:
     """(image_id, br, bc, position, was, i): uniform tiles that the agent calls safe with ``threshold`` or more, with the pixel it names, in raster order."""
     safe, position = models
-    scored = safe.transform(tile_features(ones, dim)).where(vector_to_array("probability")[1] >= threshold).select("image_id", "br", "bc", "pat", "features")
+    # Both are written: in one plan features would be made again for each model's columns, and models asked again for each use of the places.
+    features = kept(tile_features(ones, dim).drop("constant"), "tile-features")
+    scored = kept(safe.transform(features).where(vector_to_array("probability")[1] >= threshold).select("image_id", "br", "bc", "pat", "features"), "safe-tiles")
     named = position.transform(scored).select("image_id", "br", "bc", F.col("prediction").cast("int").alias("position"), F.when(F.col("pat") == 511, 1).otherwise(0).alias("was"), F.lit(1).alias("one"))
     return marking.offsets(named, "one").select("image_id", "br", "bc", "position", "was", F.col("at").alias("i"))
 
