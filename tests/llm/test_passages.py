@@ -372,3 +372,30 @@ def test_pairs_that_open_regions_cannot_complete_leave_the_join_early(spark, mon
                 want = {i: min(x, y) if c in (x, y) else c for i, c in want.items()}
     assert got == want and len({c for i, c in want.items() if i >= 1000}) == 1
     assert pairs[0] > 50 and all(k < pairs[0] / 4 for k in seen)
+
+
+def members_at(n: int, place: int) -> np.ndarray:
+    members = np.zeros(n, compact_windows.MEMBER)
+    members["key"], members["doc"], members["group"] = 1, np.arange(n), np.arange(n)
+    members["lo"] = members["hi"] = place
+    return members
+
+
+@pytest.mark.parametrize("n", [20, 60])
+def test_repeats_of_few_tokens_are_linked_in_classes_of_any_size(n):
+    """Every third text has the common token 60 times, the others have it once among others: alike as sets, whatever the number of texts."""
+    rng, reach, common = np.random.default_rng(51), 92, np.uint64(7)
+    texts = [rng.integers(1 << 10, 1 << 60, 2 * reach + 1).astype(np.uint64) for _ in range(n)]
+    for k, text in enumerate(texts):
+        text[reach : reach + (60 if k % 3 == 2 else 1)] = common
+    later, earlier = compact_windows.linking(members_at(n, reach), texts, np.arange(n), np.arange(n), 46, 0.8, reach)
+    assert set(later.tolist()) == set(range(2, n, 3)) and all(passages(texts[u], texts[v], 46, 0.8) for u, v in zip(later, earlier, strict=True))
+
+
+def test_passages_that_reach_further_are_linked_in_one_component():
+    """Two sources overlap in a text: both go on, though the first one covers the common place and the second one is in its component."""
+    rng, reach, n = np.random.default_rng(52), 92, 3
+    texts = [rng.integers(1 << 10, 1 << 60, 2 * reach + 1).astype(np.uint64) for _ in range(n)]
+    texts[0][20:120], texts[1][60:180] = texts[2][20:120], texts[2][60:180]
+    later, earlier = compact_windows.linking(members_at(n, reach), texts, np.arange(n), np.arange(n), 46, 0.8, reach)
+    assert set(zip(later.tolist(), earlier.tolist(), strict=True)) == {(1, 0), (2, 1), (2, 0)}
