@@ -8,6 +8,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,21 +118,55 @@ def _reciprocal_distortion(image: np.ndarray, stego: np.ndarray) -> float:
     return cost / max(int(((whole > 0) & (whole < 64)).sum()), 1)
 
 
-def context_runs(ones: DataFrame, dim: DataFrame, payload_bits: int = 64, divisors: tuple[int, ...] = tuple(range(1, 11))) -> DataFrame:
+#: Pixels of a packed band of rows.
+PACKED = 1 << 20
+
+
+def packed_bands(ones: DataFrame, dim: DataFrame) -> DataFrame:
+    """(image_id, band, bits): bands of rows with a pixel set, eight pixels a byte, so that an image can be sent whole to each task that scans it."""
+
+    def pack(part: pa.Table) -> pa.Table:
+        h, w, band = (part[c][0].as_py() for c in ("h", "w", "band"))
+        high = max(1, PACKED // w)
+        image = np.zeros((min(high, h - band * high), w), np.uint8)
+        image[part["r"].to_numpy() - band * high, part["c"].to_numpy()] = 1
+        return pa.table({"image_id": part["image_id"][:1], "band": pa.array([band], pa.int64()), "bits": pa.array([np.packbits(image).tobytes()], pa.binary())})
+
+    rows = ones.select("image_id", "r", "c").join(dim.select("image_id", "h", "w"), "image_id").withColumn("band", F.floor(F.col("r") / F.greatest(F.lit(1), F.floor(PACKED / F.col("w")))))
+    return kept(rows.groupBy("image_id", "band").applyInArrow(pack, "image_id string, band long, bits binary"), "packed")
+
+
+def unpacked(part: pd.DataFrame) -> np.ndarray:
+    """The image of a group that has its h, w and packed bands."""
+    h, w = int(part["h"].iloc[0]), int(part["w"].iloc[0])
+    image, high = np.zeros((h, w), np.uint8), max(1, PACKED // max(w, 1))
+    for band, bits in zip(part["band"], part["bits"], strict=True):
+        if bits is not None:
+            rows = image[int(band) * high : (int(band) + 1) * high]
+            rows[:] = np.unpackbits(np.frombuffer(bits, np.uint8), count=rows.size).reshape(rows.shape)
+    return image
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` in many tasks by ``keys``: packed images are few bytes and long scans, and Spark would put those of all images into one task."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
+
+
+def context_runs(ones: DataFrame, dim: DataFrame, payload_bits: int | DataFrame = 64, divisors: tuple[int, ...] = tuple(range(1, 11)), packed: DataFrame | None = None) -> DataFrame:
     """A row for each image and divisor: whether the method is available (it holds the payload and gives message and raster back exactly), changed pixels, marks, wire bits, drd, and a digest of what was read and put back.
 
     Embedding chooses its patterns before an edit and extraction after it, so that a read can fail; failures are data, never assumed away. A task gets one image as packed
-    rows of bits, as the scan can't be divided.
+    bits, as the scan can't be divided. ``payload_bits`` is one number for all images or a table (image_id, bits).
     """
-    packed = ones.groupBy("image_id", "r").agg(F.array_sort(F.collect_list("c")).alias("cs"))
-    lines = dim.join(packed, "image_id", "left").select("image_id", "h", "w", "r", "cs", F.explode(F.array(*map(F.lit, divisors))).alias("divisor"))
+    packed = packed_bands(ones, dim) if packed is None else packed
+    payload = payload_bits.select("image_id", "bits") if isinstance(payload_bits, DataFrame) else dim.select("image_id", F.lit(payload_bits).alias("bits"))
+    bands = dim.select("image_id", "h", "w").join(payload.withColumnRenamed("bits", "payload"), "image_id").join(packed, "image_id", "left")
+    lines = dealt(bands.withColumn("divisor", F.explode(F.array(*map(F.lit, divisors)))), "image_id", "divisor")
 
     def scan(part: pd.DataFrame) -> pd.DataFrame:
-        h, w, divisor = (int(part[c].iloc[0]) for c in ("h", "w", "divisor"))
-        image = np.zeros((h, w), np.uint8)
-        for r, cs in zip(part["r"], part["cs"], strict=True):
-            if cs is not None:
-                image[int(r), cs] = 1
+        h, w, divisor, payload_bits = (int(part[c].iloc[0]) for c in ("h", "w", "divisor", "payload"))
+        image = unpacked(part)
         payload = [((i * 1103515245 + 12345) // 65536) % 2 for i in range(payload_bits)]
         row = {"image_id": part["image_id"].iloc[0], "divisor": divisor, "available": False, "changed": None, "marks": None, "wire_bits": None, "drd": None, "message": None, "ones": None, "checksum": None, "error": None}
         try:
@@ -170,7 +205,7 @@ def context_best(runs: DataFrame) -> DataFrame:
 def method_runs(ones: DataFrame, dim: DataFrame, payload_bits: int | DataFrame = 64) -> DataFrame:
     """A row for each image and method: payload, side information, net bits, changed pixels, PSNR, DRD, exactness, or why there is no run.
 
-    ``payload_bits`` is one number for all images or a table (image_id, bits) with few distinct numbers.
+    ``payload_bits`` is one number for all images or a table (image_id, bits).
     """
     payload = payload_bits if isinstance(payload_bits, DataFrame) else dim.select("image_id", F.lit(payload_bits).cast("long").alias("bits"))
     payload = kept(payload, "payload")
@@ -185,11 +220,7 @@ def method_runs(ones: DataFrame, dim: DataFrame, payload_bits: int | DataFrame =
     fits = payload.join(centres.select("image_id").distinct(), "image_id", "left_semi")
     runs = marking.evaluation(ones.join(fits, "image_id", "left_semi"), dim, flips, message, back, fits, centre_sizes(centres, dim)).withColumn("error", F.lit(None).cast("string"))
     out.append(runs.unionByName(marking.unavailable(payload.join(fits, "image_id", "left_anti"), "no pair carries the payload")).withColumn("method", F.lit("pair")))
-    best = None
-    for bits in [r["bits"] for r in payload.select("bits").distinct().orderBy("bits").collect()]:
-        mine = payload.where(F.col("bits") == bits).select("image_id")
-        one = context_best(context_runs(ones.join(mine, "image_id", "left_semi"), dim.join(mine, "image_id", "left_semi"), bits))
-        best = one if best is None else best.unionByName(one)
+    best = context_best(context_runs(ones, dim, payload))
     best = best.join(dim, "image_id").join(payload, "image_id")
     known = lambda column: F.when(F.col("available"), column)
     out.append(best.select(
@@ -287,31 +318,19 @@ def spread(df: DataFrame, column: str, values: tuple) -> DataFrame:
 
 
 def context_marked(ones: DataFrame, dim: DataFrame, payload: DataFrame) -> DataFrame:
-    """(image_id, r, c): rasters that the context method has marked with the divisor of least distortion; images without an exact run don't appear. ``payload`` has few distinct numbers of bits."""
-
-    def marker(bits: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-        def mark(part: pd.DataFrame) -> pd.DataFrame:
-            h, w, divisor = (int(part[c].iloc[0]) for c in ("h", "w", "divisor"))
-            image = np.zeros((h, w), np.uint8)
-            for r, cs in zip(part["r"], part["cs"], strict=True):
-                if cs is not None:
-                    image[int(r), cs] = 1
-            diff = context.difference(image)
-            context.embed(diff, [((i * 1103515245 + 12345) // 65536) % 2 for i in range(bits)], max(1, round(h * w / divisor)))
-            r, c = np.nonzero(context.undifference(diff))
-            return pd.DataFrame({"image_id": part["image_id"].iloc[0], "r": r.astype("int32"), "c": c.astype("int32")})
-
-        return mark
-
-    out = None
-    for bits in [r["bits"] for r in payload.select("bits").distinct().orderBy("bits").collect()]:
-        mine = payload.where(F.col("bits") == bits).select("image_id")
-        some, shape = ones.join(mine, "image_id", "left_semi"), dim.join(mine, "image_id", "left_semi")
-        best = context_best(context_runs(some, shape, bits)).where("available").select("image_id", "divisor")
-        packed = some.groupBy("image_id", "r").agg(F.array_sort(F.collect_list("c")).alias("cs"))
-        made = shape.join(best, "image_id").join(packed, "image_id", "left").groupBy("image_id").applyInPandas(marker(bits), "image_id string, r int, c int")
-        out = made if out is None else out.unionByName(made)
-    return out
+    """(image_id, r, c): rasters that the context method has marked with the divisor of least distortion; images without an exact run don't appear."""
+
+    def mark(part: pd.DataFrame) -> pd.DataFrame:
+        h, w, divisor, bits = (int(part[c].iloc[0]) for c in ("h", "w", "divisor", "payload"))
+        diff = context.difference(unpacked(part))
+        context.embed(diff, [((i * 1103515245 + 12345) // 65536) % 2 for i in range(bits)], max(1, round(h * w / divisor)))
+        r, c = np.nonzero(context.undifference(diff))
+        return pd.DataFrame({"image_id": part["image_id"].iloc[0], "r": r.astype("int32"), "c": c.astype("int32")})
+
+    packed = packed_bands(ones, dim)
+    best = context_best(context_runs(ones, dim, payload, packed=packed)).where("available").select("image_id", "divisor")
+    rows = dim.select("image_id", "h", "w").join(best, "image_id").join(payload.select("image_id", F.col("bits").alias("payload")), "image_id").join(packed, "image_id", "left")
+    return dealt(rows, "image_id").groupBy("image_id").applyInPandas(mark, "image_id string, r int, c int")
 
 
 def marked_rasters(ones: DataFrame, dim: DataFrame, payloads: tuple[int, ...], methods: tuple[str, ...] = DETECTED) -> tuple[DataFrame, DataFrame]:

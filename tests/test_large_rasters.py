@@ -5,9 +5,12 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rasterlake import registry
+from rasterlake.operators import study
 from rasterlake.plans import steps
 from rasterlake.registry import queries
 from tests.test_oracle import SF, duck, rows  # noqa: F401
@@ -39,3 +42,19 @@ def test_rows_of_pixels_are_dealt_out(spark):
     """``dim`` has a row per image; what is made of it isn't left to the task that reads it."""
     df = steps.run(spark, "SELECT * FROM px", SF, "embeddings")
     assert df.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_scans_of_packed_images_are_dealt_over_tasks(spark):
+    """Ten scans of small packed images: Spark's own choice would be one task."""
+    rng = np.random.default_rng(3)
+    images = {"a": rng.integers(0, 2, (40, 30)), "b": rng.integers(0, 2, (7, 50)), "c": np.zeros((5, 9), int)}
+    ones = spark.createDataFrame([(k, int(r), int(c)) for k, x in images.items() for r, c in np.argwhere(x)], "image_id string, r int, c int")
+    dim = spark.createDataFrame([(k, *x.shape) for k, x in images.items()], "image_id string, h int, w int")
+    packed = study.packed_bands(ones, dim)
+    lines = study.dealt(dim.join(packed, "image_id", "left").withColumn("divisor", F.explode(F.sequence(F.lit(1), F.lit(10)))), "image_id", "divisor")
+    assert lines.rdd.getNumPartitions() >= 16 and len({x for x in lines.select(F.spark_partition_id()).distinct().collect()}) > 8
+    for k, part in dim.join(packed, "image_id", "left").toPandas().groupby("image_id"):
+        assert (study.unpacked(part) == images[k]).all()
+    both = study.context_runs(ones, dim, dim.select("image_id", F.when(F.col("image_id") == "a", 8).otherwise(4).alias("bits")), (1, 3)).orderBy("image_id", "divisor").collect()
+    apart = [r for k in "abc" for r in study.context_runs(ones.where(F.col("image_id") == k), dim.where(F.col("image_id") == k), 8 if k == "a" else 4, (1, 3)).orderBy("divisor").collect()]
+    assert both == apart and len(both) == 6
