@@ -135,10 +135,15 @@ def restored(stego: DataFrame, found: DataFrame) -> DataFrame:
 # The opposite pair of neighbourhood levels: centres in raster order are overwritten, their values go to the side information
 
 
+def best_pairs(scores: DataFrame, payload: DataFrame) -> DataFrame:
+    """(image_id, bits, first_level): the best pair that has ``bits`` centres; images without such a pair don't appear."""
+    able = scores.join(payload, "image_id").where("score IS NOT NULL AND capacity >= bits")
+    return able.groupBy("image_id", "bits").agg(F.max_by("first_level", F.struct(F.round("score", 9), -F.col("first_level"))).alias("first_level"))
+
+
 def pair_centres(level_px: DataFrame, scores: DataFrame, payload: DataFrame) -> DataFrame:
     """(image_id, r, c, i, original): the first ``bits`` centres of the best pair that has as many; images without such a pair don't appear."""
-    able = scores.join(payload, "image_id").where("score IS NOT NULL AND capacity >= bits")
-    best = able.groupBy("image_id", "bits").agg(F.max_by("first_level", F.struct(F.round("score", 9), -F.col("first_level"))).alias("first_level"))
+    best = best_pairs(scores, payload)
     mine = level_px.join(best, "image_id").where("lvl = first_level OR lvl = 26 - first_level").withColumn("one", F.lit(1)).withColumns({"br": F.col("r"), "bc": F.col("c")})
     return offsets(mine, "one").where("at < bits").select("image_id", "r", "c", F.col("at").alias("i"), F.col("v").alias("original"))
 

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterlake.functions import codecs
-from rasterlake.operators import agent, context, marking
+from rasterlake.operators import agent, bands, context, marking
+from rasterlake.operators.bands import dealt
 from rasterlake.operators.custom import adaptive_mapping
 from rasterlake.plans import steps
 from rasterlake.stages import kept
@@ -81,9 +82,16 @@ def pair_tables(ones: DataFrame, dim: DataFrame) -> tuple[DataFrame, DataFrame]:
     return level_px, kept(steps.run(spark, "SELECT image_id, first_level, capacity, score FROM scores", ones=ones, dim=dim, level_px=level_px), "scores")
 
 
+def pair_centres(ones: DataFrame, dim: DataFrame, payload: DataFrame) -> DataFrame:
+    """(image_id, r, c, i, original): the centres that carry ``payload``, as of ``marking.pair_centres``, without a table of all pixels' levels."""
+    sums = bands.level_sums(ones, dim)
+    best = kept(marking.best_pairs(bands.pair_scores(sums, dim), payload), "best-pairs")
+    return kept(bands.pair_centres(ones, dim, sums, best), "centres")
+
+
 def through_pair(ones: DataFrame, dim: DataFrame, payload: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(centres, flips, message, raster put back) of images of which a pair of levels carries the payload."""
-    centres = kept(marking.pair_centres(*pair_tables(ones, dim), payload), "centres")
+    centres = pair_centres(ones, dim, payload)
     flips = kept(marking.overwrite(centres), "flips")
     stego = kept(marking.toggled(ones.join(centres.select("image_id").distinct(), "image_id", "left_semi"), flips), "stego")
     found = kept(marking.read_centres(stego, centres), "found")
@@ -109,11 +117,12 @@ def centre_sizes(centres: DataFrame, dim: DataFrame) -> DataFrame:
 def _reciprocal_distortion(image: np.ndarray, stego: np.ndarray) -> float:
     """Weighted differences around the changed pixels, over the number of 8x8 blocks that aren't of one colour."""
     h, w = image.shape
-    cost = 0.0
-    for r, c in zip(*np.nonzero(image != stego), strict=True):
-        for dr, dc, weight in steps.kernel():
-            if 0 <= r + dr < h and 0 <= c + dc < w:
-                cost += weight * (image[r + dr, c + dc] != stego[r, c])
+    cost, changed = 0.0, image != stego
+    # An edit in the first column inverts all rows below it, so changed pixels are counted by arrays, neighbour by neighbour.
+    for dr, dc, weight in steps.kernel():
+        at = slice(max(0, -dr), h - max(0, dr)), slice(max(0, -dc), w - max(0, dc))
+        near = slice(max(0, dr), h + min(0, dr)), slice(max(0, dc), w + min(0, dc))
+        cost += weight * int((changed[at] & (image[near] != stego[at])).sum())
     whole = image[: h - h % 8, : w - w % 8].reshape(h // 8, 8, w // 8, 8).sum((1, 3))
     return cost / max(int(((whole > 0) & (whole < 64)).sum()), 1)
 
@@ -147,12 +156,6 @@ def unpacked(part: pd.DataFrame) -> np.ndarray:
     return image
 
 
-def dealt(rows: DataFrame, *keys: str) -> DataFrame:
-    """``rows`` in many tasks by ``keys``: packed images are few bytes and long scans, and Spark would put those of all images into one task."""
-    spark = rows.sparkSession
-    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
-
-
 def context_runs(ones: DataFrame, dim: DataFrame, payload_bits: int | DataFrame = 64, divisors: tuple[int, ...] = tuple(range(1, 11)), packed: DataFrame | None = None) -> DataFrame:
     """A row for each image and divisor: whether the method is available (it holds the payload and gives message and raster back exactly), changed pixels, marks, wire bits, drd, and a digest of what was read and put back.
 
@@ -345,7 +348,7 @@ def marked_rasters(ones: DataFrame, dim: DataFrame, payloads: tuple[int, ...], m
         if method == "context":
             stego = kept(context_marked(every, shape, payload), "context-marked")
         elif method == "pair":
-            centres = kept(marking.pair_centres(*pair_tables(every, shape), payload), "centres")
+            centres = pair_centres(every, shape, payload)
             stego = marking.toggled(every.join(centres.select("image_id").distinct(), "image_id", "left_semi"), marking.overwrite(centres))
         else:
             tables_ = tables(method, every, shape, payload)
